@@ -1,13 +1,19 @@
 """Registered queries of this subpackage, with DuckDB oracles where SQL can express them."""
 
 from lumenloom.llm.bpe import op8_byte_bpe
+from lumenloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from lumenloom.llm.fingerprint import op9_fingerprints
 from lumenloom.llm.packing import op3_packing
+from lumenloom.llm.secret_scan import op7_secret_scan
 from lumenloom.llm.token_output import op1_token_frames
 
 QUERIES = {
     "op1_token_frames": op1_token_frames,
     "op3_packing": op3_packing,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_fingerprints": op9_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
