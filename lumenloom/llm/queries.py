@@ -3,14 +3,18 @@
 from lumenloom.llm.bpe import op8_byte_bpe
 from lumenloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from lumenloom.llm.fingerprint import op9_fingerprints
+from lumenloom.llm.language_id import op6_language_id
 from lumenloom.llm.packing import op3_packing
 from lumenloom.llm.secret_scan import op7_secret_scan
 from lumenloom.llm.token_output import op1_token_frames
+from lumenloom.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_token_frames": op1_token_frames,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fingerprints": op9_fingerprints,
