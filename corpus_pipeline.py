@@ -1,18 +1,80 @@
-"""Corpus pipeline: toxicity, exact dedup, n-gram join, PII surrogates, packing."""
+"""Corpus pipeline over ``documents``: toxicity, exact dedup, n-gram Jaccard join, PII surrogates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
+and reread as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenloom.llm import base, exact_dedup, language_id, ngram_join, packing, pii, toxicity
+
+#: A deployment sets its own key for the surrogates.
+KEY = "a key that a deployment replaces"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that score 0.7 or more; labels are learned from two of three folds."""
+    labels = base.table(spark, sf_dir, "labels").where(language_id.fold(F.col("doc_id"), 3) != 1)
+    return toxicity.reject(docs, toxicity.fit(docs, labels))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.deduplicate(docs, keep="largest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the least doc_id) of each group of near copies stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities get surrogates; n_chars follows the text."""
+    done = pii.protect(docs, KEY).drop("n_entities")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.char_length("text").cast("long"))
+    return done.select(*docs.columns)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _stage(work, first: bool = False):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            base.release(spark)  # the stages before are written, so what they kept aside can go
+        return work(spark, docs, sf_dir)
+
+    return run_stage
+
 
-from lumenloom.llm import base, packing
+STAGES = [
+    ("toxicity", _stage(drop_toxic, first=True)),
+    ("exact dedup", _stage(drop_copies)),
+    ("n-gram Jaccard join", _stage(drop_near_copies)),
+    ("PII", _stage(replace_private)),
+    ("packing", _stage(pack_tokens)),
+]
 
-STAGES = []
+# A trained classifier, a keyed cipher and a tokenizer are not SQL; tests/llm has the brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to ``documents``, each written as Parquet and reread."""
     docs = base.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    path = f"{base.shared_dir(spark)}/lumenloom/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = base.materialize(docs, name)
+        docs.write.parquet(f"{path}/{k}")
+        docs = spark.read.parquet(f"{path}/{k}")
     return docs

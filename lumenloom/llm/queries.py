@@ -6,6 +6,7 @@ from lumenloom.llm.fingerprint import op9_fingerprints
 from lumenloom.llm.language_id import op6_language_id
 from lumenloom.llm.ngram_join import OP2_SQL, op2_ngram_join
 from lumenloom.llm.packing import op3_packing
+from lumenloom.llm.pii import op10_pii
 from lumenloom.llm.secret_scan import op7_secret_scan
 from lumenloom.llm.token_output import op1_token_frames
 from lumenloom.llm.toxicity import op5_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fingerprints": op9_fingerprints,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
