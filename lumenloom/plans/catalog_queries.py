@@ -1,4 +1,6 @@
 """Registered queries over the catalogue operators, with their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lumenloom.plans import sequence_queries
+
+QUERIES = {**sequence_queries.QUERIES}
+ORACLES = {**sequence_queries.ORACLES}
