@@ -62,10 +62,10 @@ def combined_blur(overall: Column, centre: Column) -> Column:
 def human_size(size: Column) -> Column:
     out, value = None, size.cast("double")
     for unit in ("B", "KB", "MB", "GB"):
-        text = F.format_string("%.1f %s", value, F.lit(unit))
+        text = F.format_string("%.1f %s", F.bround(value, 1), F.lit(unit))
         out = F.when(F.abs(value) < 1024, text) if out is None else out.when(F.abs(value) < 1024, text)
         value = value / 1024
-    return out.otherwise(F.format_string("%.1f TB", value))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(value, 1)))
 
 
 def human_time(seconds: Column) -> Column:

@@ -79,13 +79,17 @@ def legacy_conversion(ext: Column, codec: Column) -> Column:
 def verification(size: Column, before: Column, after: Column, codec: Column, tolerance: float = 1.0) -> Column:
     """(ok, message) of a converted file: present, not empty, as long as the original, HEVC."""
     apart = F.abs(before - after)
+
+    def result(ok: bool, message: Column) -> Column:
+        return F.struct(F.lit(ok).alias("ok"), message.alias("message"))
+
     return (
-        F.when(size.isNull(), F.struct(F.lit(False).alias("ok"), F.lit("converted file does not exist").alias("message")))
-        .when(size == 0, F.struct(F.lit(False), F.lit("converted file is empty")))
-        .when(apart.isNull(), F.struct(F.lit(False), F.lit("could not verify duration")))
-        .when(apart > tolerance, F.struct(F.lit(False), F.format_string("duration mismatch: %.1fs difference", apart)))
-        .when(~F.coalesce(codec.isin("hevc", "h265"), F.lit(False)), F.struct(F.lit(False), F.concat(F.lit("unexpected codec: "), F.coalesce(codec, F.lit("None")))))
-        .otherwise(F.struct(F.lit(True), F.lit("conversion verified")))
+        F.when(size.isNull(), result(False, F.lit("converted file does not exist")))
+        .when(size == 0, result(False, F.lit("converted file is empty")))
+        .when(apart.isNull(), result(False, F.lit("could not verify duration")))
+        .when(apart > tolerance, result(False, F.format_string("duration mismatch: %.1fs difference", apart)))
+        .when(~F.coalesce(codec.isin("hevc", "h265"), F.lit(False)), result(False, F.concat(F.lit("unexpected codec: "), F.coalesce(codec, F.lit("None")))))
+        .otherwise(result(True, F.lit("conversion verified")))
     )
 
 
