@@ -28,6 +28,8 @@ PATTERNS = (r"\byou(?:'re| are)? (?:a |an |such |so )", r"\bshut up\b", r"\bgo t
 _WORD = re.compile(r"[^\W\d_]+")
 _PATTERNS = [re.compile(p) for p in PATTERNS]
 BEGINNINGS = (4, 5, 6)
+#: A word beginning votes if its share among toxic texts is at least this many times that among clean ones.
+VOTER_RATIO = 40
 
 
 def beginnings(word: str) -> list[str]:
@@ -117,12 +119,12 @@ def label_model(votes: np.ndarray, prior: float, known: np.ndarray | None = None
     return posterior, accuracy, correlation
 
 
-def train_linear(x: np.ndarray, soft: np.ndarray, steps: int = 600, rate: float = 1.0, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by gradient descent with momentum."""
+def train_linear(x: np.ndarray, soft: np.ndarray, share: np.ndarray, steps: int = 600, rate: float = 1.0, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by gradient descent with momentum; ``share`` are row weights that sum to one."""
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = np.zeros_like(w), 0.0
     for _ in range(steps):
-        g = (1.0 / (1.0 + np.exp(-np.clip(x @ w + b, -40, 40))) - soft) / len(x)
+        g = (1.0 / (1.0 + np.exp(-np.clip(x @ w + b, -40, 40))) - soft) * share
         vw, vb = 0.9 * vw - rate * (x.T @ g + penalty * w), 0.9 * vb - rate * g.sum()
         w, b = w + vw, b + vb
     return w, b
@@ -134,13 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 3000, found:
     At most about ``sample_per_label`` labelled rows of each label are used, chosen by a
     hash of doc_id; labels of a doc_id that disagree or are null are left out. Voters are
     the fixed lexicon and at most ``found`` word beginnings whose share among toxic
-    texts is at least twelve times that among clean ones. Without usable labels the
+    texts is at least VOTER_RATIO times that among clean ones. Without usable labels the
     fixed lexicon and patterns vote alone.
     """
     spark = docs.sparkSession
     base.ship(spark)
     agreed = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_hi")).where("toxic = _hi").drop("_hi")
-    counts = {r["toxic"]: r["count"] for r in agreed.groupBy("toxic").count().collect()}
+    counts = {int(r["toxic"]): r["count"] for r in agreed.groupBy("toxic").count().collect()}
     keep = F.lit(False)
     for label, n in counts.items():
         keep = keep | ((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_per_label / n))))
@@ -164,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 3000, found:
         in_toxic = toxic_rows.mapInArrow(tally, "f string, n long").groupBy("f").agg(F.sum("n").alias("toxic")).where(F.col("toxic") >= least)
         in_clean = clean_rows.mapInArrow(tally, "f string, n long").groupBy("f").agg(F.sum("n").alias("clean"))
         ratio = (F.col("toxic") + 0.5) / (n1 + 1) / ((F.coalesce("clean", F.lit(0)) + 0.5) / (n0 + 1))
-        best = in_toxic.join(in_clean, "f", "left").withColumn("ratio", ratio).where("ratio >= 12").orderBy(F.desc(F.log("ratio") * F.sqrt("toxic")), "f").limit(found).collect()
+        best = in_toxic.join(in_clean, "f", "left").withColumn("ratio", ratio).where(F.col("ratio") >= VOTER_RATIO).orderBy(F.desc(F.log("ratio") * F.sqrt("toxic")), "f").limit(found).collect()
         for r in best:
             voters.setdefault(r["f"], len(voters))
 
@@ -180,10 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 3000, found:
         return ToxicityModel(voters, trusted, np.concatenate([np.zeros(size), [2.0, 2.0, 2.0]]), -3.5)
     count = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in got]).astype(np.float64)
     known = np.array([float(r["toxic"] == 1) for r in got])
-    posterior, accuracy, _ = label_model(count > 0, prior=n1 / (n1 + n0), known=known)
+    posterior, accuracy, _ = label_model(count > 0, prior=counts[1] / (counts[0] + counts[1]), known=known)
     trusted = (accuracy >= 0.7).astype(np.float64)
     x = np.stack([features(c, r["words"], trusted) for c, r in zip(count, got, strict=True)])
-    weights, bias = train_linear(x, posterior)
+    # The sample holds toxic texts more often than the corpus does; the weights undo that.
+    share = np.where(known > 0.5, counts[1] / n1, counts[0] / n0)
+    weights, bias = train_linear(x, posterior, share / share.sum())
     return ToxicityModel(voters, trusted, weights, bias)
 
 
