@@ -64,7 +64,7 @@ ORACLES = {
     "collision_names": "WITH " + fx.CAPTURES + ", c AS (SELECT *, row_number() OVER (PARTITION BY strftime(ts, '%Y/%m'), name ORDER BY event_id) AS nth FROM captures) SELECT event_id, nth::INTEGER AS nth, " + _STEM + " || CASE WHEN nth > 1 THEN '_' || (nth - 1) ELSE '' END || regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS target FROM c",
     "project_folder_month": "WITH " + fx.CAPTURES + ", n AS (SELECT dir, strftime(ts, '%Y-%m-%d') AS month, count(*) AS n, min(event_id) AS seen FROM captures GROUP BY ALL) SELECT dir, month, n FROM n QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, seen) = 1",
     "folder_media_majority": "WITH " + fx.CAPTURES + ", k AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'video' WHEN event_id % 7 = 0 THEN 'other' ELSE 'photo' END AS kind FROM captures) SELECT dir, count_if(kind = 'video')::BIGINT AS videos, count_if(kind = 'photo')::BIGINT AS photos, min(ts) AS first_ts, bool_or(kind <> 'other') AS has_media, CASE WHEN count_if(kind = 'video') >= count_if(kind = 'photo') THEN 'Organized_Videos' ELSE 'Organized_Photos' END AS root FROM k GROUP BY dir",
-    "takeout_routing": "WITH " + fx.CAPTURES + f""", s AS (SELECT *, {_STEM} AS stem FROM captures), d AS (SELECT *, {_LADDER} AS date FROM s),
+    "import_routing": "WITH " + fx.CAPTURES + f""", s AS (SELECT *, {_STEM} AS stem FROM captures), d AS (SELECT *, {_LADDER} AS date FROM s),
       p AS (SELECT *, CASE WHEN name LIKE '1920x1080 %' THEN 'wallpaper' WHEN date IS NULL THEN 'review' ELSE 'organize' END AS kind FROM d), q AS (SELECT *, CASE kind WHEN 'wallpaper' THEN 'Wallpapers' WHEN 'review' THEN '_TO_REVIEW_' ELSE 'Organized_Photos' || strftime(date, '/%Y/%m %B') END AS place FROM p)
       SELECT event_id, place, CASE WHEN kind = 'organize' AND row_number() OVER (PARTITION BY place, name ORDER BY event_id) > 1 THEN 'skip_duplicate' ELSE kind END AS action FROM q""",
     "camcorder_routing": "WITH " + _MEASURED + """, i AS (SELECT DISTINCT l_shipdate, size, true AS indexed FROM probes WHERE file_no % 11 = 0), s AS (SELECT m.size, CASE WHEN NOT (ext = '.MTS' OR coalesce(codec IN ('h264', 'mpeg4'), false)) THEN 'skipped_codec' WHEN file_no % 101 = 0 THEN 'failed' WHEN indexed THEN 'skipped_indexed' WHEN bpp > 0.17 THEN 'convert_software' ELSE 'convert_hardware' END AS status FROM measured m LEFT JOIN i ON m.l_shipdate = i.l_shipdate AND m.size = i.size)

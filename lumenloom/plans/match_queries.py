@@ -160,7 +160,7 @@ def run_counters(spark, sf_dir):
     return duplicate_decisions(spark, sf_dir).groupBy("action", "confidence").agg(F.count("*").alias("n"))
 
 
-def takeout_routing(spark, sf_dir):
+def import_routing(spark, sf_dir):
     """Wallpapers and undated files aside, dated ones by month; of files that want one name in one place the first goes, the rest are duplicates."""
     rows = fx.captures(spark, sf_dir).withColumn("date", filenames.ladder_timestamp(F.col("name"))).withColumn("year", F.year("date"))
     kind = F.when(filenames.is_wallpaper(F.col("name")), "wallpaper").when(F.col("date").isNull(), "review").otherwise("organize")
@@ -258,6 +258,6 @@ def blur_kernel(spark, sf_dir):
     return kernels.blur(fx.table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 64).cast("array<double>").alias("a")), "a", 8)
 
 
-QUERIES = {f.__name__: f for f in (exact_duplicates, duplicate_waste, keep_newest, phash_bits, phash_pairs, phash_components, leftover_check, archive_missing, duplicate_decisions, quality_arbitration, size_band_matches, edited_pairs, protected_pairs, orphan_sidecars, recover_priority, fragmented_sidecars, cache_split, cache_upsert, file_index, index_lookup, insert_dedup, collision_names, project_folder_month, folder_media_majority, run_counters, takeout_routing, camcorder_routing, triage_plan, review_assembly, undo_plan, metadata_merge, photo_directories, highres_photos, ssim_kernel, blur_kernel)}
+QUERIES = {f.__name__: f for f in (exact_duplicates, duplicate_waste, keep_newest, phash_bits, phash_pairs, phash_components, leftover_check, archive_missing, duplicate_decisions, quality_arbitration, size_band_matches, edited_pairs, protected_pairs, orphan_sidecars, recover_priority, fragmented_sidecars, cache_split, cache_upsert, file_index, index_lookup, insert_dedup, collision_names, project_folder_month, folder_media_majority, run_counters, import_routing, camcorder_routing, triage_plan, review_assembly, undo_plan, metadata_merge, photo_directories, highres_photos, ssim_kernel, blur_kernel)}
 
 from lumenloom.plans.match_oracles import ORACLES  # noqa: E402, F401

@@ -130,7 +130,7 @@ def test_kernels():
 
 
 def test_sources_and_state(spark, tmp_path):
-    d = tmp_path / "in" / "Google Photos" / "Trip"
+    d = tmp_path / "in" / "Camera Roll" / "Trip"
     d.mkdir(parents=True)
     (d / "a.JPG").write_bytes(b"\xff\xd8\xff\xe0" + b"0" * 20)
     (d / "b.txt").write_text("x")
@@ -138,7 +138,7 @@ def test_sources_and_state(spark, tmp_path):
     (d / "bad.jpg.json").write_text("{")
     files = listing.scan(spark, [str(tmp_path / "in")])
     assert [(r["name"], r["ext"], r["size"]) for r in files.collect()] == [("a.JPG", ".jpg", 24)]
-    assert listing.directories_with(files, "Google Photos").count() == 1
+    assert listing.directories_with(files, "Camera Roll").count() == 1
     side = {r["media_name"]: r for r in listing.sidecars(spark, str(tmp_path / "in")).collect()}
     assert side["a.JPG"]["taken"] == datetime(2023, 11, 14, 22, 13, 20) and side["a.JPG"]["latitude"] == 1.5
     assert side["bad.jpg"]["taken"] is None
