@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm import base
 
-PIECES = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,19 +50,19 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
 
     def cut(batches):
         from lumenloom.llm import vocab
-        from lumenloom.llm.token_output import ids_crc32
 
+        end = end_id.to_bytes(4, "little")
         encode = vocab.encoder(tokenizer_path).encode
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids_of), 256):
                 rows = []
-                for k, (doc_id, ids) in enumerate(zip(ids_of[at : at + 256], encode(texts.slice(at, 256).to_pylist()), strict=True)):
-                    ids.append(end_id)
-                    for start in range(0, len(ids), capacity):
-                        piece = ids[start : start + capacity]
-                        rows.append((doc_id, at + k, start, len(piece), ids_crc32(piece), len(ids)))
-                names = ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"]
+                for doc_id, ids in zip(ids_of[at : at + 256], encode(texts.slice(at, 256).to_pylist()), strict=True):
+                    ids += end
+                    for start in range(0, len(ids) // 4, capacity):
+                        piece = ids[4 * start : 4 * (start + capacity)]
+                        rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
@@ -84,7 +86,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, pieces_per_
         placed = first_fit_decreasing(pdf["length"].tolist(), capacity)
         pdf["sequence_id"] = (int(pdf["group"].iloc[0]) << 32) + pd.Series([b for b, _ in placed], index=pdf.index, dtype="int64")
         pdf["offset"] = pd.Series([o for _, o in placed], index=pdf.index, dtype="int64")
-        return pdf.drop(columns=["group", "row"])
+        return pdf.drop(columns="group")
 
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(fit, PACKED)

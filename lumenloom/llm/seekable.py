@@ -36,8 +36,8 @@ class Writer:
         self._pending: list[bytes] = []
         self._size, self._seek, self._index = 0, [], []
 
-    def add(self, doc_id: int | None, ids: list[int]) -> None:
-        raw = np.asarray(ids, dtype=f"<u{self._width}").tobytes()
+    def add(self, doc_id: int | None, ids) -> None:
+        raw = np.asarray(ids).astype(f"<u{self._width}").tobytes()
         self._index.append((len(self._seek), NULL_ID if doc_id is None else doc_id, len(ids)))
         self._pending.append(raw)
         self._size += len(raw)

@@ -48,7 +48,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         part = TaskContext.get().partitionId()
         fs, root = _files(path)
         out = writer = None
-        encode = vocab.encoder(tokenizer_path).encode
+        encode, end = vocab.encoder(tokenizer_path).encode, end_id.to_bytes(4, "little")
         first, docs_n, tokens = None, 0, 0
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -59,7 +59,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                         draft = f"{root}/.draft-{uuid.uuid4().hex}"
                         out = fs.open_output_stream(draft)
                         writer, first = seekable.Writer(out, width, frame_bytes), doc_id
-                    ids.append(end_id)
+                    ids = np.frombuffer(ids + end, dtype="<u4")
                     writer.add(doc_id, ids)
                     docs_n, tokens = docs_n + 1, tokens + len(ids)
         if writer is not None:

@@ -5,54 +5,87 @@ from __future__ import annotations
 import base64
 import os
 import re
-from itertools import chain
+from itertools import chain, filterfalse
+
+import numpy as np
 
 # A single space between two visible characters starts a new pre-token in the
 # vocabularies' pattern, so a text may be cut before it.
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-_ANY_SPACE_BUT_BLANK = re.compile(r"[^\S ] | [^\S ]|  ")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
-def safe_chunks(text: str) -> list[str]:
-    """Cut ``text`` at every safe place; the chunks join to the text and encode one by one."""
+def cut_keys(text: str) -> list[str]:
+    """Cut ``text`` at every safe place. A key is a piece without its leading space, or a space and then a piece that has none."""
     if not text:
         return []
-    if _ANY_SPACE_BUT_BLANK.search(text) is None:
-        first, *rest = text.split(" ")
-        rest = [" " + x for x in rest]
-        return [first, *rest] if first else rest
-    return _SAFE_CUT.split(text)
+    if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+        return [x[1:] if x[0] == " " and x[1:2] != " " else " " + x for x in _SAFE_CUT.split(text)]
+    keys = text.split(" ")
+    if keys[0]:
+        keys[0] = " " + keys[0]
+    else:
+        del keys[0]
+    return keys
+
+
+def piece_of(key: str) -> str:
+    return key[1:] if key[:1] == " " else " " + key
 
 
 class CachedEncoder:
     """Byte-level BPE ids of whole texts by the tokenizers library.
 
-    Chunks repeat, so their ids are kept in two generations of at most
-    ``generation`` chunks each: memory stays bounded and frequent chunks stay.
+    Pieces repeat, so their ids are kept in two generations of at most ``generation``
+    pieces each: memory stays bounded and frequent pieces stay. New pieces are encoded
+    many in one string, apart by a character whose id no merge rule touches.
     """
 
-    def __init__(self, path: str, generation: int = 250_000):
+    MARK = "\0"
+
+    def __init__(self, path: str, generation: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._limit, self._young, self._old = generation, {}, {}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; null counts as empty."""
-        cut = [safe_chunks(x or "") for x in texts]
+        marks = self._ids([self.MARK])[0]
+        symbol = self._tokenizer.id_to_token(marks[0])
+        alone = len(marks) == 1 and sum(symbol in x for x in self._tokenizer.get_vocab()) == 1
+        self._mark = marks[0] if alone else None
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joinable(self, piece: str) -> bool:
+        """Whether the mark before and after a piece leaves its pre-tokens as they are."""
+        return self.MARK not in piece and (piece[0] == " " or piece[0].isalnum()) and not piece[-1].isspace()
+
+    def _learn(self, keys: list[str]) -> None:
+        joined = [k for k in keys if self._mark is not None and self._joinable(piece_of(k))]
+        for at in range(0, len(joined), 51_200):
+            part = joined[at : at + 51_200]
+            strings = [self.MARK.join(map(piece_of, part[k : k + 200])) + self.MARK for k in range(0, len(part), 200)]
+            ids = np.fromiter(chain.from_iterable(self._ids(strings)), dtype="<u4")
+            raw, start = ids.tobytes(), 0
+            for key, end in zip(part, np.flatnonzero(ids == self._mark).tolist(), strict=True):
+                self._young[key] = raw[4 * start : 4 * end]
+                start = end + 1
+        rest = [k for k in keys if k not in self._young]
+        for key, ids in zip(rest, self._ids([piece_of(k) for k in rest]), strict=True):
+            self._young[key] = np.asarray(ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        cut = [cut_keys(x or "") for x in texts]
         if len(self._young) > self._limit:
             self._old, self._young = self._young, {}
-        needed = set().union(*cut) - self._young.keys()
-        for x in needed & self._old.keys():
+        missing = set(filterfalse(self._young.__contains__, chain.from_iterable(cut)))
+        for x in missing & self._old.keys():
             self._young[x] = self._old[x]
-        missing = list(needed - self._young.keys())
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for x, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._young[x] = e.ids
-        return [list(chain.from_iterable(map(self._young.__getitem__, x))) for x in cut]
+        self._learn([x for x in missing if x not in self._young])
+        return [b"".join(map(self._young.__getitem__, x)) for x in cut]
 
 
 _encoders: dict[str, CachedEncoder] = {}
