@@ -31,7 +31,7 @@ def _shared(seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Advance bits by (step, symbol), and for each slot the falling-rate records of its positions."""
     if seed not in _tables:
         rng = np.random.Generator(np.random.PCG64(seed))
-        moves = rng.integers(0, 2, size=(_PERIOD, 256), dtype=np.int64)
+        moves = rng.integers(0, 2, size=(_PERIOD, 256), dtype=np.uint8)
         moves[:, _HALT] = 0
         records = np.full((SLOTS, 96), np.iinfo(np.int64).max, dtype=np.int64)
         for s in range(SLOTS):
@@ -63,7 +63,7 @@ def fingerprints(texts: list[str], seed: int = 20, room: int = 1 << 25) -> np.nd
         flat = np.concatenate(parts).astype(np.uint8)
         at = np.concatenate([[0], np.cumsum([len(texts[i]) + 1 for i in own])[:-1]]).astype(np.int64)
         written = np.zeros((3 * longest + 64, len(own)), dtype=np.uint8)
-        step, here, move = 0, np.zeros(len(own), np.uint8), np.zeros(len(own), np.int64)
+        step, here, move = 0, np.zeros(len(own), np.uint8), np.zeros(len(own), np.uint8)
         while True:
             if step + 64 > len(written):
                 written = np.concatenate([written, np.zeros((longest + 64, len(own)), np.uint8)])
