@@ -114,25 +114,27 @@ def train(x: np.ndarray, lang: list[str], steps: int = 300, rate: float = 2.0, p
     return LanguageModel(languages, code, w.astype(np.float64), b.astype(np.float64), trust)
 
 
-def fit(docs: DataFrame, sample_per_language: int = 800, seed: int = 5) -> LanguageModel:
+def fit(docs: DataFrame, sample_per_language: int = 800, sample_in_all: int = 20_000, seed: int = 5) -> LanguageModel:
     """Learn from ``docs`` (doc_id, text, lang): rows with a language and a letter.
 
     The classifiers are fitted on a bounded sample: about ``sample_per_language`` rows of
-    each language, chosen by a hash of doc_id. Language counts cover all rows. Only the
-    sample's hashed features reach the driver.
+    each language and ``sample_in_all`` rows of all, chosen by a hash of doc_id. Language
+    counts cover all rows. Only the sample's hashed features reach the driver.
     """
     spark = docs.sparkSession
     base.ship(spark)
     labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = labelled.groupBy("lang").count()
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(1_000_000.0 * sample_per_language) / F.col("count")
+    counts = base.materialize(labelled.groupBy("lang").count(), "languages")
+    languages = counts.count()
+    per_language = min(sample_per_language, sample_in_all / max(1, languages))
+    pick = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(1_000_000.0 * per_language) / F.col("count")
 
     def features(batches):
         for batch in batches:
             rows = [(lang, ngram_features(t).astype(np.float16).tobytes()) for t, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
 
-    sample = labelled.join(F.broadcast(counts), "lang").where(pick).select("text", "lang").mapInArrow(features, "lang string, x binary").collect()
+    sample = labelled.join(F.broadcast(counts) if languages <= 10_000 else counts, "lang").where(pick).select("text", "lang").mapInArrow(features, "lang string, x binary").collect()
     sample.sort()
     if not sample:
         return LanguageModel([], codewords(0), np.zeros((FEATURES, 1)), np.zeros(1))

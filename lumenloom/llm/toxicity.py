@@ -134,14 +134,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 3000, found:
     """Learn from ``docs`` (doc_id, text) that have a row in ``labels`` (doc_id, toxic).
 
     At most about ``sample_per_label`` labelled rows of each label are used, chosen by a
-    hash of doc_id; labels of a doc_id that disagree or are null are left out. Voters are
+    hash of doc_id; labels other than 0 and 1, and labels of a doc_id that disagree, are left out. Voters are
     the fixed lexicon and at most ``found`` word beginnings whose share among toxic
     texts is at least VOTER_RATIO times that among clean ones. Without usable labels the
     fixed lexicon and patterns vote alone.
     """
     spark = docs.sparkSession
     base.ship(spark)
-    agreed = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_hi")).where("toxic = _hi").drop("_hi")
+    agreed = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_hi")).where("toxic = _hi").drop("_hi")
     counts = {int(r["toxic"]): r["count"] for r in agreed.groupBy("toxic").count().collect()}
     keep = F.lit(False)
     for label, n in counts.items():
