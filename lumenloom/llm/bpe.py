@@ -18,8 +18,9 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     base.ship(docs.sparkSession)
 
     def run(batches):
-        from lumenloom.llm import vocab
+        from lumenloom.llm import vocab, worker
 
+        worker.enter("ranks")
         enc = vocab.rank_encoder(rank_path, pattern)
         for batch in batches:
             texts = batch.column(1)
@@ -35,8 +36,9 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     base.ship(encoded.sparkSession)
 
     def run(batches):
-        from lumenloom.llm import vocab
+        from lumenloom.llm import vocab, worker
 
+        worker.enter("ranks")
         enc = vocab.rank_encoder(rank_path, pattern)
         for batch in batches:
             raw = [enc.decode(x or []) for x in batch.column(1).to_pylist()]
@@ -50,8 +52,9 @@ def round_trip_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFra
     base.ship(docs.sparkSession)
 
     def run(batches):
-        from lumenloom.llm import vocab
+        from lumenloom.llm import vocab, worker
 
+        worker.enter("ranks")
         enc = vocab.rank_encoder(rank_path, pattern)
         for batch in batches:
             texts = batch.column(1)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenloom.llm import base
+from lumenloom.llm import base, worker
 
 RUN = "digest string, keep_id long, keep_rows long, group_size long"
 #: Groups of copies whose digests are sent to every task; with more groups, texts are shuffled by digest instead.
@@ -48,6 +48,7 @@ class DigestIndex:
         limit, sign = self._rows, 1 if self._keep == "smallest" else -1
 
         def memtables(batches):
+            worker.enter("digests")
             table: dict = {}
             for batch in batches:
                 for doc_id, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

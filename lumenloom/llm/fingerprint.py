@@ -19,12 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import base, graph
+from lumenloom.llm import base, graph, worker
 
 SLOTS = 128
 _PERIOD = 1 << 16
 _HALT = 0
 _tables: dict[int, tuple] = {}
+worker.holds(_tables.clear)
 
 
 def _shared(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +94,7 @@ def fingerprint_table(docs: DataFrame, seed: int = 20) -> DataFrame:
     base.ship(docs.sparkSession)
 
     def run(batches):
+        worker.enter("fingerprint")
         for batch in batches:
             prints = fingerprints([x or "" for x in batch.column(1).to_pylist()], seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes().hex() for x in prints], pa.string())], names=["doc_id", "fingerprint"])
@@ -157,6 +159,7 @@ def paired_with_next(docs: DataFrame, seed: int = 20) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[:n], strict=True)], names=names[:n])
 
     def run(batches):
+        worker.enter("fingerprint")
         part, held = TaskContext.get().partitionId(), None
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
@@ -184,6 +187,7 @@ def paired_with_next(docs: DataFrame, seed: int = 20) -> DataFrame:
     pairs = edges.where("edge = 'last'").join(after, "part").join(firsts, "next").select("doc_id", "text", "after")
 
     def close(batches):
+        worker.enter("fingerprint")
         for batch in batches:
             for i, t, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield as_batch(rows_of([i, None], [t, a]), 7)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import base
+from lumenloom.llm import base, worker
 
 FEATURES = 1 << 12
 UNKNOWN = "und"
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, sample_per_language: int = 800, sample_in_all: int = 20
     pick = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(1_000_000.0 * per_language) / F.col("count")
 
     def features(batches):
+        worker.enter("language")
         for batch in batches:
             rows = [(lang, ngram_features(t).astype(np.float16).tobytes()) for t, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
@@ -151,6 +152,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     base.ship(docs.sparkSession)
 
     def run(batches):
+        worker.enter("language")
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 512):

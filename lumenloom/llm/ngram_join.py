@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import base, graph
+from lumenloom.llm import base, graph, worker
 from lumenloom.llm.signature_tree import DOWN, UP, SignatureTree, bitmap, spanning
 
 WORDS = 5
@@ -90,6 +90,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     base.ship(docs.sparkSession)
 
     def run(batches):
+        worker.enter("shingles")
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 512):
@@ -129,6 +130,7 @@ def _tree_join(dealt: DataFrame, forest: bool) -> DataFrame:
     spark = dealt.sparkSession
 
     def run(batches):
+        worker.enter("shingles")
         found: list[tuple[int, int]] = []
         for rows in _groups(batches, 2):
             if rows.num_rows < 2:
@@ -160,8 +162,12 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = base.materialize(docs.select("doc_id", "text").join(_few(ends), "doc_id"), "texts")
 
     def run(batches):
+        worker.enter("shingles")
         for batch in batches:
-            keep = [linked(shingles(x), shingles(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = []
+            for at in range(0, batch.num_rows, 256):
+                x, y = (batch.column(c).slice(at, 256).to_pylist() for c in (2, 3))
+                keep += [linked(shingles(p), shingles(q)) for p, q in zip(x, y, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")

@@ -9,7 +9,7 @@ from bisect import bisect_left, bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenloom.llm import base
+from lumenloom.llm import base, worker
 
 # Base kinds, in the order in which kinds are listed.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -102,6 +102,7 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("link", pa.int32()), ("value", pa.string())])
 
     def run(batches):
+        worker.enter("secrets")
         for batch in batches:
             texts, out = batch.column(1), []
             for k in range(batch.num_rows):
@@ -121,6 +122,7 @@ def span_digests(docs: DataFrame, reach: int = 200) -> DataFrame:
         return ",".join(f"{k}:{s}:{e}" for k, s, e, *_ in spans)
 
     def run(batches):
+        worker.enter("secrets")
         for batch in batches:
             texts, rows = batch.column(1), []
             for k in range(batch.num_rows):

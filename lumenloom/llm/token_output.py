@@ -43,8 +43,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     base.ship(spark)
 
     def write(batches):
-        from lumenloom.llm import seekable, vocab
+        from lumenloom.llm import seekable, vocab, worker
 
+        worker.enter("vocab")
         part = TaskContext.get().partitionId()
         fs, root = _files(path)
         out = writer = None
@@ -93,8 +94,9 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, wanted: Iterable[int]
     chosen = None if wanted is None else set(wanted)
 
     def read(batches):
-        from lumenloom.llm import seekable
+        from lumenloom.llm import seekable, worker
 
+        worker.enter("vocab")
         for batch in batches:
             for file, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, name = _files(file)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import base
+from lumenloom.llm import base, worker
 from lumenloom.llm.language_id import fold
 
 # Common insults.
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 3000, found:
     sample = base.materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
 
     def tally(batches):
+        worker.enter("toxicity")
         seen = Counter()
         for batch in batches:
             for text in batch.column(1).to_pylist():
@@ -171,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 3000, found:
             voters.setdefault(r["f"], len(voters))
 
     def fire(batches):
+        worker.enter("toxicity")
         for batch in batches:
             rows = [voter_counts(voters, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array([c.astype(np.float32).tobytes() for c, _ in rows], pa.binary()), pa.array([w for _, w in rows], pa.int64())], names=["doc_id", "toxic", "x", "words"])
@@ -196,6 +198,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     base.ship(docs.sparkSession)
 
     def run(batches):
+        worker.enter("toxicity")
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 512):
@@ -210,6 +213,7 @@ def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Dat
     where = docs.columns.index("text")
 
     def run(batches):
+        worker.enter("toxicity")
         for batch in batches:
             texts, keep = batch.column(where), []
             for at in range(0, batch.num_rows, 512):

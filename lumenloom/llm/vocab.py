@@ -9,6 +9,8 @@ from itertools import chain, filterfalse
 
 import numpy as np
 
+from lumenloom.llm import worker
+
 # A single space between two visible characters starts a new pre-token in the
 # vocabularies' pattern, so a text may be cut before it.
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -43,7 +45,7 @@ class CachedEncoder:
 
     MARK = "\0"
 
-    def __init__(self, path: str, generation: int = 600_000):
+    def __init__(self, path: str, generation: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -89,12 +91,13 @@ class CachedEncoder:
 
 
 _encoders: dict[str, CachedEncoder] = {}
+worker.holds(_encoders.clear)
 
 
-def encoder(path: str) -> CachedEncoder:
-    """One encoder per Python worker and file."""
+def encoder(path: str, generation: int = 400_000) -> CachedEncoder:
+    """One encoder per Python worker and file; its first caller sets how many pieces it keeps."""
     if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
+        _encoders[path] = CachedEncoder(path, generation)
     return _encoders[path]
 
 
@@ -132,6 +135,7 @@ class RankEncoder:
 
 
 _ranked: dict[tuple[str, str], RankEncoder] = {}
+worker.holds(_ranked.clear)
 
 
 def rank_encoder(path: str, pattern: str) -> RankEncoder:
