@@ -45,11 +45,13 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), kept_pieces=200_000)
 
 
 def _stage(work, first: bool = False):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        # Executors run stage after stage: small Arrow batches of long texts leave them room.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
         if not first:
             base.release(spark)  # the stages before are written, so what they kept aside can go
         return work(spark, docs, sf_dir)
