@@ -6,7 +6,8 @@ vowels, consonants) by amounts that depend on the key and on the rest of the ent
 a pass from either end. For one key it is a bijection on strings of one shape, so unlike
 entities stay unlike and an entity has the same surrogate wherever it occurs, without
 any table. Given names come from pools of the title's gender and the name's script,
-which is no bijection: those are checked for collisions over the whole corpus first.
+which is no bijection: of given names that would share a choice under one family name,
+all but one get their enciphered form hyphenated to it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm import base
 
+#: Rows of names that are sent to every task; with more, texts are shuffled by a hash of their names.
+BROADCAST_LISTS = 200_000
 # Alphabets within which characters move.
 DIGITS = ("0123456789",)
 PHONE_DIGITS = ("01", "23456789")
@@ -156,26 +159,36 @@ def _iban(m: Column, key: str) -> Column:
     return _refill(m, F.concat(country, check, body), "[A-Z0-9]")
 
 
-def _name(m: Column, key: str, attempt: int) -> Column:
-    """``attempt``: which keyed choice of given names; negative: enciphered, a bijection."""
+def _person(m: Column) -> tuple[Column, Column, Column, Column]:
+    """Title, given name ('' without one), the words between, and family name of a titled name."""
     words = F.split(m, " ")
-    title, family = words[0], F.element_at(words, -1)
-    family = encipher(family, key, F.lit("family"), SOUNDS)
-    given = words[1]
-    if attempt < 0:
-        other = encipher(given, key, F.lit("given"), SOUNDS)
-    else:
-        female = F.regexp_replace(title, r"\.", "").isin(*TITLES["f"])
-        cyrillic = given.rlike(r"^\p{IsCyrillic}")
-        pools = F.when(cyrillic, F.when(female, F.array(*map(F.lit, GIVEN_CYRILLIC["f"]))).otherwise(F.array(*map(F.lit, GIVEN_CYRILLIC["m"])))).otherwise(F.when(female, F.array(*map(F.lit, GIVEN["f"]))).otherwise(F.array(*map(F.lit, GIVEN["m"]))))
-        at = F.array_position(pools, given).cast("int")
-        turn = _number(f"{key}/given{attempt}", F.when(at > 0, F.lit("pool")).otherwise(given))
-        other = F.element_at(pools, F.pmod(F.greatest(at - 1, F.lit(0)) + turn, F.size(pools)) + 1)
-    return F.when(F.size(words) > 2, F.concat_ws(" ", title, other, family)).otherwise(F.concat_ws(" ", title, family))
-
-
-def surrogate(m: Column, key: str, attempt: int = 0) -> Column:
-    """The surrogate of a matched string; strings of no kind stay."""
+    return words[0], F.when(F.size(words) > 2, words[1]).otherwise(F.lit("")), F.slice(words, F.lit(3), F.greatest(F.size(words) - 3, F.lit(0))), F.element_at(words, -1)
+
+
+def _is_female(title: Column) -> Column:
+    return F.regexp_replace(title, r"\.", "").isin(*TITLES["f"])
+
+
+def _given(title: Column, given: Column, key: str, attempt: int) -> tuple[Column, Column]:
+    """The given name's choice from its pool, and its own place there (null if it is in no pool)."""
+    female, cyrillic = _is_female(title), given.rlike(r"^\p{IsCyrillic}")
+    pools = F.when(cyrillic, F.when(female, F.array(*map(F.lit, GIVEN_CYRILLIC["f"]))).otherwise(F.array(*map(F.lit, GIVEN_CYRILLIC["m"])))).otherwise(F.when(female, F.array(*map(F.lit, GIVEN["f"]))).otherwise(F.array(*map(F.lit, GIVEN["m"]))))
+    at = F.nullif(F.array_position(pools, given).cast("int"), F.lit(0))
+    turn = _number(f"{key}/given{attempt}", F.when(at > 0, F.lit("pool")).otherwise(given))
+    return F.element_at(pools, F.pmod(F.coalesce(at - 1, F.lit(0)) + turn, F.size(pools)) + 1), at
+
+
+def _name(m: Column, key: str, attempt: int, crowded: Column) -> Column:
+    """``attempt``: which keyed choice of given names; where ``crowded``, the enciphered given name is hyphenated to it, a bijection."""
+    title, given, between, family = _person(m)
+    plain, _ = _given(title, given, key, attempt)
+    other = F.when(crowded, F.concat(plain, F.lit("-"), encipher(given, key, F.lit("given"), SOUNDS))).otherwise(plain)
+    between = F.transform(between, lambda w: encipher(w, key, F.lit("family"), SOUNDS))
+    return F.array_join(F.flatten(F.array(F.array(title), F.when(given != "", F.array(other)).otherwise(F.array().cast("array<string>")), between, F.array(encipher(family, key, F.lit("family"), SOUNDS)))), " ")
+
+
+def surrogate(m: Column, key: str, attempt: int = 0, crowded: Column | None = None) -> Column:
+    """The surrogate of a matched string; strings of no kind stay. ``crowded``: whether a name shares its pool choice with another, see crowded_names."""
     kind = kind_of(m)
     return (
         F.when(kind == "email", _email(m, key))
@@ -184,7 +197,7 @@ def surrogate(m: Column, key: str, attempt: int = 0) -> Column:
         .when(kind == "card", _card(m, key))
         .when(kind == "ssn", encipher(m, key, F.lit("ssn"), ("0", "9", "12345678")))
         .when(kind == "iban", _iban(m, key))
-        .when(kind == "name", _name(m, key, attempt))
+        .when(kind == "name", _name(m, key, attempt, F.lit(False) if crowded is None else crowded))
         .otherwise(m)
     )
 
@@ -193,35 +206,67 @@ def _found(text: Column, pattern: str = ENTITY) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def collisions(docs: DataFrame, key: str, attempt: int, pattern: str = ENTITY) -> DataFrame:
+def _names(text: Column) -> Column:
+    """The distinct titled names among the entities of a text, in order."""
+    return F.array_sort(F.array_distinct(F.filter(_found(text), lambda m: kind_of(m) == "name")))
+
+
+def crowded_names(names: DataFrame, key: str, attempt: int = 0) -> DataFrame:
+    """The rows of ``names`` (distinct: name) whose pool choice another given name of the same gender and family holds.
+
+    A given name that is in the pool holds its choice, else the least one does. The rest
+    are crowded under every title of that gender, so a person keeps one name.
+    """
+    title, given, between, family = _person(F.col("name"))
+    choice, at = _given(title, given, key, attempt)
+    held = ["_female", "_between", "_family", "_choice"]
+    people = names.select("name", _is_female(title).alias("_female"), F.array_join(between, " ").alias("_between"), family.alias("_family"), choice.alias("_choice"), F.struct(at.isNull().alias("foreign"), given.alias("given")).alias("_who")).where(given != "")
+    holders = people.groupBy(*held).agg(F.min("_who").alias("_holder"), F.max("_who").alias("_last")).where("_holder <> _last").drop("_last")
+    return people.join(holders, held).where("_who <> _holder").select("name")
+
+
+def _with_crowded(docs: DataFrame, key: str, attempt: int) -> DataFrame:
+    """``docs`` with _crowded: the names of a row's text that are crowded in the corpus; null if it has none.
+
+    Rows meet their crowded names by a hash of all their names. Rows whose hashes agree
+    share a list, which is harmless: a name is crowded everywhere or nowhere. The lists
+    are broadcast while they are few; beyond that texts are shuffled.
+    """
+    titled = docs.where(F.col("text").rlike(NAME))
+    sets = base.materialize(titled.select(_names(F.col("text")).alias("names")).where(F.size("names") > 0).distinct(), "names")
+    single = sets.select(F.explode("names").alias("name"))
+    crowded = base.materialize(crowded_names(single.distinct(), key, attempt), "crowded")
+    if not crowded.take(1):
+        return docs.withColumn("_crowded", F.lit(None).cast("array<string>"))
+    listed = base.materialize(sets.select(F.xxhash64("names").alias("_key"), F.explode("names").alias("name")).join(crowded, "name").groupBy("_key").agg(F.collect_set("name").alias("_crowded")), "listed")
+    names = F.when(F.col("text").rlike(NAME), _names(F.col("text")))
+    # Rows without names match nothing; their own hash deals them out.
+    keyed = docs.withColumn("_key", F.when(F.size(names) > 0, F.xxhash64(names)).otherwise(F.xxhash64("text")))
+    few = listed.count() <= BROADCAST_LISTS
+    return keyed.join(F.broadcast(listed) if few else listed, "_key", "left").drop("_key")
+
+
+def collisions(docs: DataFrame, key: str, attempt: int = 0) -> DataFrame:
     """Surrogates that stand for more than one entity of ``docs``: surrogate, entities."""
-    entity = docs.select(F.explode(_found(F.col("text"), pattern)).alias("entity")).distinct().where(kind_of(F.col("entity")).isNotNull())
+    entity = docs.select(F.explode(_found(F.col("text"))).alias("name")).distinct().where(kind_of(F.col("name")).isNotNull())
+    crowded = crowded_names(entity.where(kind_of(F.col("name")) == "name"), key, attempt).withColumn("crowded", F.lit(True))
+    entity = entity.join(crowded, "name", "left").select(F.col("name").alias("entity"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
     # Titles and case of a domain are form, not identity.
     same = F.when(F.col("entity").contains("@"), F.concat(F.substring_index("entity", "@", 1), F.lit("@"), F.lower(F.substring_index("entity", "@", -1)))).otherwise(F.col("entity"))
-    return entity.select(same.alias("entity"), surrogate(F.col("entity"), key, attempt).alias("surrogate")).groupBy("surrogate").agg(F.countDistinct("entity").alias("entities")).where("entities > 1")
-
-
-def name_attempt(docs: DataFrame, key: str, attempts: int = 4) -> int:
-    """The first choice of given names without a collision in the corpus; -1, the enciphered names, if none is."""
-    names = base.materialize(docs.select(F.explode(_found(F.col("text"), NAME)).alias("text")).distinct(), "names")
-    if not names.take(1):
-        return 0
-    for attempt in range(attempts):
-        if not collisions(names, key, attempt, NAME).take(1):
-            return attempt
-    return -1
+    return entity.select(same.alias("entity"), surrogate(F.col("entity"), key, attempt, F.col("crowded")).alias("surrogate")).groupBy("surrogate").agg(F.countDistinct("entity").alias("entities")).where("entities > 1")
 
 
-def protect(docs: DataFrame, key: str, attempt: int | None = None) -> DataFrame:
+def protect(docs: DataFrame, key: str, attempt: int = 0) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced, all other columns as they are, and n_entities.
 
     A null text stays null with 0 entities, an empty one empty; text outside entities is
-    untouched to the character; rows are independent, so repeated rows get equal results;
-    an empty table gives no rows. No shuffle but that of distinct titled names.
+    untouched to the character; repeated rows get equal results; an empty table gives no
+    rows. Names whose pool choice is taken in the corpus get a further name part, each
+    for itself. No shuffle but that of distinct titled names, unless crowded ones are
+    too many to broadcast.
     """
-    attempt = name_attempt(docs, key) if attempt is None else attempt
-    replaced: Callable[[Column], Column] = lambda m: surrogate(m, key, attempt)
-    found = docs.withColumn("_found", _found(F.col("text")))
+    found = _with_crowded(docs, key, attempt).withColumn("_found", _found(F.col("text")))
+    replaced: Callable[[Column], Column] = lambda m: surrogate(m, key, attempt, F.coalesce(F.array_contains("_crowded", m), F.lit(False)))
     pieces = F.zip_with(F.split("text", ENTITY, -1), F.transform("_found", replaced), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     text = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
     counted = F.size(F.filter("_found", lambda m: kind_of(m).isNotNull())).cast("long")

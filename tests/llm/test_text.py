@@ -157,6 +157,25 @@ def test_surrogates(spark, empty):
     assert pii.collisions(df, "k1", 0).count() == 0
 
 
+@pytest.mark.parametrize("lists", [200_000, 0])
+def test_crowded_given_names(spark, monkeypatch, lists):
+    monkeypatch.setattr(pii, "BROADCAST_LISTS", lists)
+    own = [x + y for x in ("Za", "Ke", "Wi", "Do", "Tu", "Ba") for y in ("rak", "lim", "nov", "dex", "shu")] + ["John"]
+    names = [f"Mr {g} Smith" for g in own] + ["Mr. Zarak Smith", "Mr Smith", "Mr John Lone"]
+    rows = [(i, f"x {n} y") for i, n in enumerate(names)] + [(900, " z ".join(f"x {n} y" for n in names)), (901, "none"), (902, None), (900, "twice Mr Zarak Smith")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["doc_id"], r["text"]) for r in pii.protect(df, "k1").where("text is not null").collect())
+    assert len(out) == len(rows) - 1 and (901, "none") in out
+    new = dict(zip(names, (dict(out[: len(names)])[i][2:-2] for i in range(len(names))), strict=True))
+    assert len(set(new.values())) == len(names)
+    assert all(v.split()[1].split("-")[0] in pii.GIVEN["m"] for n, v in new.items() if n != "Mr Smith")
+    assert len({v.split()[-1] for n, v in new.items() if n.endswith("Smith")}) == 1 and "-" not in new["Mr John Lone"]
+    assert new["Mr. Zarak Smith"].split()[1:] == new["Mr Zarak Smith"].split()[1:]
+    assert any("-" not in v for n, v in new.items() if n.endswith(" Smith") and n != "Mr Smith")
+    assert (900, " z ".join(f"x {new[n]} y" for n in names)) in out and (900, f"twice {new['Mr Zarak Smith']}") in out
+    assert pii.collisions(df, "k1", 0).count() == 0
+
+
 def test_cipher_is_a_bijection(spark):
     df = spark.range(10_000).select(F.format_string("%04d", F.col("id")).alias("s"))
     assert df.select(pii.encipher(F.col("s"), "key", F.lit("t"), pii.DIGITS).alias("c")).distinct().count() == 10_000
