@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import base, graph, worker
+from lumenloom.llm import base, graph, ngram_join, worker
 
 SLOTS = 128
 _PERIOD = 1 << 16
@@ -105,22 +105,64 @@ def fingerprint_table(docs: DataFrame, seed: int = 20) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, bands: int = 32, seed: int = 20) -> DataFrame:
     """doc_id, component_id: near copies by fingerprint, banded and verified.
 
-    Slots are cut into ``bands``; rows that share a band's bytes are compared with the
-    least doc_id of that bucket, and pairs alike in at least ``threshold`` of all slots
-    are linked, so a bucket of any size costs one comparison per row. Rows without text
-    link with nothing; every row is returned.
+    Slots are cut into ``bands``; rows that share a band's bytes and are alike in at least
+    ``threshold`` of all slots are linked. Rows without text link with nothing; every row
+    is returned.
     """
-    spark = docs.sparkSession
     prints = base.materialize(fingerprint_table(docs.where("doc_id is not null and text <> ''"), seed), "prints")
+    found = linked_prints(prints, threshold, bands)
+    return docs.select("doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def linked_prints(prints: DataFrame, threshold: float, bands: int) -> DataFrame:
+    """(id, component_id) of the rows of ``prints`` (doc_id, fingerprint) that link.
+
+    First every row is compared with the least doc_id of each of its buckets, one
+    comparison per row. Buckets whose members are then still in unlike components are
+    dealt to chunks so that any two of unlike component meet, and compared pair by pair.
+    """
     width = 2 * SLOTS // bands
     keys = prints.select("doc_id", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.substring("fingerprint", b * width + 1, width).alias("key")) for b in range(bands)))).alias("x")).select("doc_id", "x.band", "x.key")
     heads = keys.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
     pairs = keys.join(heads, ["band", "key"]).where("doc_id <> head").select("doc_id", "head").distinct()
     both = pairs.join(prints, "doc_id").join(prints.select(F.col("doc_id").alias("head"), F.col("fingerprint").alias("other")), "head")
     same = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, k: n + (F.substring("fingerprint", 2 * k + 1, F.lit(2)) == F.substring("other", 2 * k + 1, F.lit(2))).cast("int"))
-    linked = both.where(same >= threshold * SLOTS).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    found = graph.components(linked)
-    return docs.select("doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    linked = base.materialize(both.where(same >= threshold * SLOTS).select(F.col("doc_id").alias("a"), F.col("head").alias("b")), "links")
+    found = base.materialize(graph.components(linked), "components")
+
+    member = keys.withColumnRenamed("doc_id", "id").join(found, "id", "left").select("id", F.struct("band", "key").alias("bucket"), F.coalesce("component_id", "id").alias("label")).distinct()
+    parts = member.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    mixed = base.materialize(parts.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("total")).where("labels > 1").select("bucket", F.col("most.label").alias("major"), F.col("most.m").alias("many"), "total"), "mixed")
+    if mixed.take(1):
+        dealt = ngram_join.residual(member.join(mixed, "bucket")).join(prints.withColumnRenamed("doc_id", "id"), "id")
+        more = base.materialize(_compared(dealt, threshold), "links")
+        if more.take(1):
+            found = graph.components(linked.union(more))
+    return found
+
+
+def _compared(dealt: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that span what the pairs of unlike label of each chunk of ``dealt`` (bucket, chunk, id, label, fingerprint) link."""
+    base.ship(dealt.sparkSession)
+
+    def run(batches):
+        worker.enter("fingerprint")
+        for rows in ngram_join.groups(batches, 2):
+            ids, label = rows.column("id").to_numpy(), rows.column("label").to_numpy()
+            prints = np.frombuffer(bytes.fromhex("".join(rows.column("fingerprint").to_pylist())), dtype=np.uint8).reshape(len(ids), SLOTS)
+            # Components grow together as links are found, so each link joins two.
+            label, links = label.copy(), []
+            for i in range(len(ids) - 1):
+                alike = (prints[i] == prints[i + 1 :]).sum(axis=1) >= threshold * SLOTS
+                for j in (np.flatnonzero(alike & (label[i + 1 :] != label[i])) + i + 1).tolist():
+                    if label[j] != label[i]:
+                        links.append((ids[j], ids[i]))
+                        label[label == label[j]] = label[i]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    placed = dealt.select(F.xxhash64("bucket").alias("bucket"), "chunk", "id", "label", "fingerprint").repartition(base.partitions(dealt.sparkSession), "bucket", "chunk").sortWithinPartitions("bucket", "chunk")
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
 
 PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

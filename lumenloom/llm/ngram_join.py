@@ -104,7 +104,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<long>, bits binary")
 
 
-def _groups(batches, key_columns: int) -> Iterator[pa.Table]:
+def groups(batches, key_columns: int) -> Iterator[pa.Table]:
     """Rows of each key in turn, from batches sorted by their first columns."""
     held: list[pa.RecordBatch] = []
     current = None
@@ -132,7 +132,7 @@ def _tree_join(dealt: DataFrame, forest: bool) -> DataFrame:
     def run(batches):
         worker.enter("shingles")
         found: list[tuple[int, int]] = []
-        for rows in _groups(batches, 2):
+        for rows in groups(batches, 2):
             if rows.num_rows < 2:
                 continue
             ids, label = rows.column("id").to_numpy(), rows.column("label").to_numpy()
@@ -208,7 +208,7 @@ def join(docs: DataFrame) -> DataFrame:
     parts = base.materialize(labelled.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.max("n").alias("n")), "parts")
     mixed = base.materialize(parts.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("total")).where("labels > 1").select("bucket", F.col("most.label").alias("major"), F.col("most.m").alias("many"), "total"), "mixed")
     if mixed.take(1):
-        rest = _tree_join(_residual(labelled.join(mixed, "bucket")).join(shape, "id"), forest=False).join(tried, ["a", "b"], "left_anti")
+        rest = _tree_join(residual(labelled.join(mixed, "bucket")).join(shape, "id"), forest=False).join(tried, ["a", "b"], "left_anti")
         more = verified(docs, rest)
         if more.take(1):
             found = base.materialize(graph.components(links.union(more)), "components")
@@ -217,7 +217,7 @@ def join(docs: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _residual(rows: DataFrame) -> DataFrame:
+def residual(rows: DataFrame) -> DataFrame:
     """Deal the rows of mixed buckets so that any two of unlike label meet in a chunk.
 
     Rows of the most frequent label need not meet each other: they are dealt to chunks

@@ -159,3 +159,30 @@ def test_fingerprint_banding(spark):
     rows = [(1, t), (2, t[:400] + "zz" + t[400:]), (3, t[::-1]), (4, None), (5, t)]
     got = {r["doc_id"]: r["component_id"] for r in fingerprint.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
+
+
+def test_fingerprint_hub_and_spokes(spark):
+    """Copies of a hub that has the largest id: alike to it, not to each other, so heads miss most links."""
+    rng = np.random.default_rng(11)
+    hub = rng.integers(0, 256, fingerprint.SLOTS, dtype=np.uint8)
+    prints = np.tile(hub, (601, 1))
+    for row in prints[:600]:
+        at = rng.choice(fingerprint.SLOTS, 26, replace=False)
+        row[at] = rng.integers(0, 256, 26, dtype=np.uint8)
+    bands = prints.reshape(len(prints), 32, -1)
+    group = list(range(len(prints)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(prints)):
+        near = (bands[i] == bands[i + 1 :]).all(axis=2).any(axis=1) & ((prints[i] == prints[i + 1 :]).sum(axis=1) >= 96)
+        for j in np.flatnonzero(near) + i + 1:
+            a, b = sorted((root(i), root(j)))
+            group[b] = a
+    want = {i: root(i) for i in range(len(prints))}
+    assert len(set(want.values())) == 1
+    df = spark.createDataFrame([(i, p.tobytes().hex()) for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    assert {r["id"]: r["component_id"] for r in fingerprint.linked_prints(df, 0.75, 32).collect()} == want
