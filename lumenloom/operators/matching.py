@@ -88,3 +88,16 @@ def most_common(rows: DataFrame, by: str, value: str, first_seen: str) -> DataFr
     """The most frequent ``value`` per ``by``; of a tie the one seen first."""
     n = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"), F.min(first_seen).alias("seen"))
     return n.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "seen"))).where("rank = 1").select(by, value, "n")
+
+
+def fragmented(sidecars: DataFrame, media: DataFrame) -> DataFrame:
+    """(event_id, path, edited_variant) of orphan sidecars (event_id, dir, name) whose media file, or else its -edited variant, lies in a month folder.
+
+    A sidecar is an orphan if its own folder holds neither the media file nor the variant.
+    """
+    bare = F.regexp_replace("name", r"-edited(\.[^.]+)$", "$1")
+    kinds = F.array(F.struct(F.col("name").alias("media_name"), F.lit(0).alias("kind")), F.struct(bare.alias("media_name"), F.when(bare != F.col("name"), 1).alias("kind")))
+    named = media.select("dir", "path", F.explode(kinds).alias("k")).select("dir", "path", "k.media_name", "k.kind").where("kind is not null")
+    orphans = sidecars.select("event_id", "dir", filenames.sidecar_media_name(F.col("name")).alias("media_name")).join(named.select("dir", "media_name").distinct(), ["dir", "media_name"], "left_anti")
+    best = named.where(paths.is_month_folder(F.element_at(F.split("path", "/"), -3))).groupBy("media_name").agg(F.min(F.struct("kind", "path")).alias("b"))
+    return orphans.join(best, "media_name").select("event_id", "b.path", (F.col("b.kind") == 1).alias("edited_variant"))

@@ -55,6 +55,9 @@ ORACLES = {
     "recover_priority": _ORPHANS + " SELECT priority, count(*) AS n, min(recover_path) AS first_path FROM orphans WHERE status = 'recoverable' GROUP BY priority",
     "fragmented_sidecars": "WITH " + fx.SIDECARS + f""", m AS (SELECT *, {_STEM} AS stem, {_EXT} AS ext FROM media WHERE path NOT LIKE '%\\_TO\\_REVIEW\\_%' ESCAPE '\\'), named AS (SELECT name AS media_name, 0 AS kind, path FROM m UNION ALL SELECT regexp_replace(stem, '-edited$', '') || ext, 1, path FROM m WHERE stem LIKE '%-edited')
       SELECT event_id, substr(min(kind || path), 2) AS path, min(kind) = 1 AS edited_variant FROM sidecars s JOIN named n ON s.original = n.media_name WHERE event_id % 5 = 0 GROUP BY event_id""",
+    "fragmented_orphans": "WITH " + fx.SIDECARS + """, named AS (SELECT dir, path, name AS media_name, 0 AS kind FROM media UNION ALL SELECT dir, path, regexp_replace(name, '-edited(\\.[^.]+)$', '\\1'), 1 FROM media WHERE regexp_matches(name, '-edited\\.[^.]+$')),
+      orphans AS (SELECT event_id, original FROM sidecars s WHERE NOT EXISTS (FROM named n WHERE n.dir = s.dir AND n.media_name = s.original))
+      SELECT event_id, substr(min(kind || path), 2) AS path, min(kind) = 1 AS edited_variant FROM orphans o JOIN named n ON o.original = n.media_name WHERE path NOT LIKE '%\\_TO\\_REVIEW\\_%' ESCAPE '\\' GROUP BY event_id""",
     "cache_split": _F + " SELECT f.doc_id, CASE WHEN f.doc_id % 7 <> 0 THEN quality END AS quality, coalesce(quality IS NOT NULL AND f.doc_id % 7 <> 0, false) AS cached FROM files f LEFT JOIN labels USING (doc_id)",
     "cache_upsert": _F + """, o AS (SELECT path, mtime, size, doc_id * 10 AS blur, CASE WHEN doc_id % 2 = 0 THEN md5 END AS md5 FROM files WHERE doc_id % 3 <> 0), n AS (SELECT path, mtime + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS mtime, size, CASE WHEN doc_id % 8 = 0 THEN doc_id * 11 END AS blur FROM files WHERE doc_id % 4 = 0)
       SELECT coalesce(o.path, n.path) AS path, coalesce(n.mtime, o.mtime) AS mtime, coalesce(n.size, o.size) AS size, coalesce(n.blur, CASE WHEN n.path IS NULL OR n.mtime = o.mtime THEN o.blur END) AS blur, CASE WHEN n.path IS NULL OR n.mtime = o.mtime THEN o.md5 END AS md5 FROM o FULL JOIN n ON o.path = n.path""",

@@ -104,6 +104,11 @@ def fragmented_sidecars(spark, sf_dir):
     return side.join(best, "media_name").select("event_id", "b.path", (F.col("b.kind") == 1).alias("edited_variant"))
 
 
+def fragmented_orphans(spark, sf_dir):
+    """The whole job of which fragmented_sidecars reads a fifth: all sidecars, anti-joined with the media of their own folder."""
+    return matching.fragmented(fx.sidecars(spark, sf_dir), fx.media(spark, sf_dir))
+
+
 def cache_split(spark, sf_dir):
     files = fx.files(spark, sf_dir)
     cache = files.join(fx.table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null"), "doc_id").select("path", (F.col("mtime") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("mtime"), "size", "quality")
@@ -258,6 +263,6 @@ def blur_kernel(spark, sf_dir):
     return kernels.blur(fx.table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 64).cast("array<double>").alias("a")), "a", 8)
 
 
-QUERIES = {f.__name__: f for f in (exact_duplicates, duplicate_waste, keep_newest, phash_bits, phash_pairs, phash_components, leftover_check, archive_missing, duplicate_decisions, quality_arbitration, size_band_matches, edited_pairs, protected_pairs, orphan_sidecars, recover_priority, fragmented_sidecars, cache_split, cache_upsert, file_index, index_lookup, insert_dedup, collision_names, project_folder_month, folder_media_majority, run_counters, import_routing, camcorder_routing, triage_plan, review_assembly, undo_plan, metadata_merge, photo_directories, highres_photos, ssim_kernel, blur_kernel)}
+QUERIES = {f.__name__: f for f in (exact_duplicates, duplicate_waste, keep_newest, phash_bits, phash_pairs, phash_components, leftover_check, archive_missing, duplicate_decisions, quality_arbitration, size_band_matches, edited_pairs, protected_pairs, orphan_sidecars, recover_priority, fragmented_sidecars, fragmented_orphans, cache_split, cache_upsert, file_index, index_lookup, insert_dedup, collision_names, project_folder_month, folder_media_majority, run_counters, import_routing, camcorder_routing, triage_plan, review_assembly, undo_plan, metadata_merge, photo_directories, highres_photos, ssim_kernel, blur_kernel)}
 
 from lumenloom.plans.match_oracles import ORACLES  # noqa: E402, F401

@@ -149,3 +149,11 @@ def test_sources_and_state(spark, tmp_path):
     assert sorted(map(tuple, state.read(spark, path, "k string, v int").collect())) == [("a", 2), ("b", 3)]
     tags = state.tags(spark.createDataFrame([("p", datetime(2020, 1, 2), -1.0, 0.0), ("q", None, 0.0, 0.0)], "path string, date timestamp_ntz, latitude double, longitude double"))
     assert {r["tag"] for r in tags.collect()} == {"DateTimeOriginal", "CreateDate", "GPSLatitude", "GPSLatitudeRef", "GPSLongitude", "GPSLongitudeRef"}
+
+
+def test_fragmented(spark):
+    m = "media/2024/01 January/"
+    media = spark.createDataFrame([("a", "in.jpg", f"{m}a/in.jpg"), ("a", "ed-edited.jpg", f"{m}a/ed-edited.jpg"), ("b", "ed.jpg", f"{m}b/ed.jpg"), ("b", "out.jpg", f"{m}b/out.jpg"), ("b", "var-edited.JPG", f"{m}b/var-edited.JPG"), ("b", "aside.jpg", "media/_TO_REVIEW_/b/aside.jpg")], "dir string, name string, path string")
+    side = spark.createDataFrame([(5 * i + k, "a", f"{n}.supplemental-metadata.json") for i, (k, n) in enumerate([(0, "in.jpg"), (1, "ed.jpg"), (2, "out.jpg"), (3, "var.JPG"), (4, "aside.jpg"), (0, "gone.jpg")])], "event_id long, dir string, name string")
+    got = sorted(tuple(r) for r in matching.fragmented(side, media).collect())
+    assert got == [(12, f"{m}b/out.jpg", False), (18, f"{m}b/var-edited.JPG", True)]
