@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,54 +46,38 @@ def _scopes(text: str) -> list[int]:
     return [0, *(m.end() for m in re.finditer(r"\n[ \t]*\n", text))]
 
 
-def linked_spans(text: str, spans: list[tuple[str, int, int]], reach: int = 200) -> list[tuple[str, int, int, int]]:
+def linked_spans(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, link) of base spans and of weak parts that are completed.
 
-    Every part's interval, widened by ``reach`` code points within its scope, is
-    interval-joined with the parts of complementary roles, by binary search over their
-    sorted starts. Two parts that complete each other share a link (the start of the
-    first part of their chain); a base span without a partner has link -1 and stays, a
-    weak part without one is not reported. Parts that lie inside a base span are not parts.
+    Parts are joined with the parts of complementary roles in their scope, however far
+    apart. All that a scope's secrets complete is one chain, so it is enough to know which
+    roles occur in a scope; the parts of a chain share a link (the start of its first
+    part). A base span without a partner has link -1 and stays, a weak part without one
+    is not reported. Weak parts that lie inside a base span are not parts.
     """
+    starts = [s for _, s, _ in spans]
+    reached = list(accumulate((e for _, _, e in spans), max))
+
     def free(start: int, end: int) -> bool:
         k = bisect_right(starts, start)
-        return not any(a < end and start < b for _, a, b in spans[max(0, k - 3) : k + 1])
+        return k == 0 or reached[k - 1] < end
 
-    starts = [s for _, s, _ in spans]
     weak = [(kind, m.start(), m.end()) for kind, p in (("identifier", _IDENTIFIER), ("opaque", _OPAQUE), ("endpoint", _ENDPOINT)) for m in p.finditer(text) if free(m.start(), m.end())]
     if not weak and not any(k == "access" for k, _, _ in spans):
         return [(*x, -1) for x in spans]
     parts = sorted([*spans, *weak], key=lambda x: (x[1], _RANK[x[0]]))
     scopes = _scopes(text)
     scope = [bisect_right(scopes, s) for _, s, _ in parts]
-    by_role: dict[str, list[int]] = {}
-    for i, (kind, _, _) in enumerate(parts):
-        by_role.setdefault(_ROLE[kind], []).append(i)
-    link = list(range(len(parts)))
-
-    def root(i: int) -> int:
-        while link[i] != i:
-            link[i] = link[link[i]]
-            i = link[i]
-        return i
-
-    completed = [False] * len(parts)
-    for role, members in by_role.items():
-        for other in _COMPLEMENT[role]:
-            near = by_role.get(other, [])
-            at = [parts[j][1] for j in near]
-            for i in members:
-                _, start, end = parts[i]
-                # A partner may start up to ``reach`` after this end; those that start before it are met from their side.
-                for j in near[bisect_left(at, start) : bisect_right(at, end + reach)]:
-                    if i != j and scope[i] == scope[j]:
-                        completed[i] = completed[j] = True
-                        a, b = sorted((root(i), root(j)))
-                        link[b] = a
-    return [(*p, parts[root(i)][1] if completed[i] else -1) for i, p in enumerate(parts) if completed[i] or p[0] in BASE_KINDS]
-
-
-def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
+    roles: dict[int, set[str]] = {}
+    first: dict[int, int] = {}
+    for (kind, start, _), own in zip(parts, scope, strict=True):
+        roles.setdefault(own, set()).add(_ROLE[kind])
+        first.setdefault(own, start)
+    link = [first[own] if roles[own].intersection(_COMPLEMENT[_ROLE[p[0]]]) else -1 for p, own in zip(parts, scope, strict=True)]
+    return [(*p, at) for p, at in zip(parts, link, strict=True) if at >= 0 or p[0] in BASE_KINDS]
+
+
+def scan(docs: DataFrame) -> DataFrame:
     """doc_id, spans (kind, start, end, link, value) of every text of ``docs``.
 
     Null and empty texts have no spans; a text is read whole whatever its length; rows
@@ -107,13 +92,13 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
             texts, out = batch.column(1), []
             for k in range(batch.num_rows):
                 text = texts[k].as_py() or ""
-                out.append([{"kind": kind, "start": s, "end": e, "link": link, "value": text[s:e]} for kind, s, e, link in linked_spans(text, base_spans(text), reach)])
+                out.append([{"kind": kind, "start": s, "end": e, "link": link, "value": text[s:e]} for kind, s, e, link in linked_spans(text, base_spans(text))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(item))], names=["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,link:int,value:string>>")
 
 
-def span_digests(docs: DataFrame, reach: int = 200) -> DataFrame:
+def span_digests(docs: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans of each text, made where the text is read."""
     base.ship(docs.sparkSession)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
@@ -129,7 +114,7 @@ def span_digests(docs: DataFrame, reach: int = 200) -> DataFrame:
                 text = texts[k].as_py() or ""
                 own = base_spans(text)
                 kinds = [x[0] for x in own]
-                rows.append((*(kinds.count(x) for x in BASE_KINDS), hashlib.sha256(joined(own).encode()).hexdigest(), joined(linked_spans(text, own, reach))))
+                rows.append((*(kinds.count(x) for x in BASE_KINDS), hashlib.sha256(joined(own).encode()).hexdigest(), joined(linked_spans(text, own))))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)

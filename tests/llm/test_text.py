@@ -121,6 +121,20 @@ def test_links(spark, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_links_across_a_scope():
+    far = "\n".join(f"setting{i} = on" for i in range(300))
+    t = f"client_id = robin-app\n{far}\nXy9Zk2Lm8Qw4Rt6Yp1Bn\n{far}\nhttps://host.example/x"
+    spans = secret_scan.linked_spans(t, secret_scan.base_spans(t))
+    assert [(k, link) for k, _, _, link in spans] == [("identifier", 0), ("opaque", 0), ("endpoint", 0)]
+    apart = t.replace(far, "\n\n")
+    assert secret_scan.linked_spans(apart, secret_scan.base_spans(apart)) == []
+    # An endpoint that holds a base span is a part; an opaque string inside one is not.
+    url = "https://host.example/x?token=abcdefabcdefxyz and Xy9Zk2Lm8Qw4Rt6Yp1Bn"
+    assert [k for k, *_ in secret_scan.linked_spans(url, secret_scan.base_spans(url))] == ["endpoint", "assign", "opaque"]
+    inside = 'user = robin, secret: "Xy9Zk2Lm8Qw4Rt6Yp1Bn"'
+    assert [k for k, *_ in secret_scan.linked_spans(inside, secret_scan.base_spans(inside))] == ["identifier", "assign"]
+
+
 PRIVATE = ["ann.lee@corp.example.org", "bob@host.net", "+1 (663) 555-6869", "663-555-1234", "8.8.4.4", "4111 1111 1111 1111", "4465758382889437", "123-45-6789", "GB82WEST12345698765432", "Mr John Smith", "Mrs. Anna Smith"]
 
 
