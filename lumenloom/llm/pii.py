@@ -12,6 +12,7 @@ all but one get their enciphered form hyphenated to it.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,25 @@ BROADCAST_LISTS = 200_000
 # Alphabets within which characters move.
 DIGITS = ("0123456789",)
 PHONE_DIGITS = ("01", "23456789")
-LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëíîïñóôöœùúûüß")
-SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèùâêîôûäöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
+_GREEK = ("αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+_CYRILLIC = ("абвгдежзийклмнопрстуфхцчшщъыьэюяё", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ")
+_LATIN = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëíîïñóôöœùúûüß")
+_SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèùâêîôûäöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
+#: Where letters of either case are mixed: Latin, Greek and Cyrillic. Beyond, see _moved.
+_MIXED = ((0x80, 0x24F), (0x370, 0x3FF), (0x400, 0x52F), (0x1E00, 0x1EFF), (0x1F00, 0x1FFF))
+
+
+def _with_rest(alphabets: tuple[str, ...]) -> tuple[str, ...]:
+    """``alphabets`` and, before them (they are tried last), those of all other letters and numbers of _MIXED, by range and case."""
+    held, rest = set("".join(alphabets)), []
+    for low, high in _MIXED:
+        for kind in ("Lu", "Ll", ("Lo", "Lm", "Lt"), ("Nd", "No", "Nl")):
+            found = "".join(c for c in map(chr, range(low, high + 1)) if unicodedata.category(c) in kind and c not in held)
+            rest += [found] if found else []
+    return (*rest, *alphabets)
+
+
+LETTERS, SOUNDS = _with_rest(_GREEK + _CYRILLIC + _LATIN), _with_rest(_GREEK + _SOUNDS)
 # Titles and given names by gender and script.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Господин"), "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Госпожа")}
 GIVEN = {
@@ -36,11 +54,13 @@ GIVEN_CYRILLIC = {
     "m": ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Максим", "Павел", "Роман", "Степан"),
     "f": ("Алина", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Ирина", "Ксения", "Мария", "Нина", "Ольга", "Софья"),
 }
+# Words before a family name, which stay as they are.
+PARTICLES = ("van", "von", "vom", "der", "den", "dem", "de", "del", "della", "di", "da", "dos", "du", "des", "la", "le", "los", "las", "zu", "zur", "ter", "ten", "bin", "ibn", "al", "el")
 # First octets of public IPv4 addresses.
 PUBLIC = tuple(k for k in range(1, 224) if k not in (10, 100, 127, 169, 172, 192, 198, 203))
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9])"
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"
 PHONE = r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\w)"
 LOCAL_PHONE = r"(?<![\w.(+-])\(?[2-9]\d{2}\)?[ .-]\d{3}[.-]\d{4}(?!\w|[.-]\d)"
@@ -48,7 +68,10 @@ IPV4 = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|[.-]\d)"
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?!\w|[.-]\d)"
 _TITLE = rf"(?:{'|'.join(x for g in TITLES.values() for x in g)})\.?"
-NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])"
+# A word of a name: initials before a further word, or a capital with inner capitals, marks, apostrophes and hyphens ('s and the like are no part of it).
+_WORD = r"(?:(?:\p{Lu}\.){1,4}(?= \p{Lu})|(?:[dlDL]['’](?=\p{Lu}))?\p{Lu}[\p{L}\p{M}]*+(?:(?:-(?=\p{L})|['’](?=\p{Lu}|\p{L}{3}))[\p{L}\p{M}]++){0,4}(?![\p{L}\p{M}\p{N}]))"
+_NAME_WORD = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?!{_TITLE} ){_WORD}"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME_WORD}(?: {_NAME_WORD}){{0,6}}"
 KINDS = {"email": EMAIL, "iban": IBAN, "phone": f"{PHONE}|{LOCAL_PHONE}", "ip": IPV4, "card": CARD, "ssn": SSN, "name": NAME}
 ENTITY = "|".join((EMAIL, IBAN, PHONE, IPV4, CARD, SSN, LOCAL_PHONE, NAME))
 
@@ -59,7 +82,17 @@ def _number(key: str, *parts: Column) -> Column:
 
 
 def _moved(c: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
+    """``c`` moved within its alphabet. Among letters, Han and Hangul move as one alphabet each, and other scripts beyond _MIXED within their 16 code points."""
     moved = c
+    if not alphabets[0].isascii():
+        code = F.ascii(c)
+        turned = lambda low, n: low + F.pmod(code - low + by, F.lit(n))
+        to = (
+            F.when(code.between(0x4E00, 0x9FFF), turned(0x4E00, 0x5200))
+            .when(code.between(0xAC00, 0xD7A3), turned(0xAC00, 11172))
+            .when(code.between(0x250, 0x2FF) | (code.between(0x530, 0x1DFF) | (code >= 0x2070)), code - code % 16 + F.pmod(code + by, F.lit(16)))
+        )
+        moved = F.when(to.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(to), 8, "0")), "UTF-32")).otherwise(c)
     for a in alphabets:
         at = F.instr(F.lit(a), c)
         moved = F.when(at > 0, F.substring(F.lit(a), F.pmod(at - 1 + by, F.lit(len(a))) + 1, F.lit(1))).otherwise(moved)
@@ -162,7 +195,13 @@ def _iban(m: Column, key: str) -> Column:
 def _person(m: Column) -> tuple[Column, Column, Column, Column]:
     """Title, given name ('' without one), the words between, and family name of a titled name."""
     words = F.split(m, " ")
-    return words[0], F.when(F.size(words) > 2, words[1]).otherwise(F.lit("")), F.slice(words, F.lit(3), F.greatest(F.size(words) - 3, F.lit(0))), F.element_at(words, -1)
+    has = (F.size(words) > 2) & ~words[1].isin(*PARTICLES)
+    first = F.when(has, 3).otherwise(2)
+    return words[0], F.when(has, words[1]).otherwise(F.lit("")), F.slice(words, first, F.size(words) - first), F.element_at(words, -1)
+
+
+def _is_initial(given: Column) -> Column:
+    return given.rlike(r"^(?:\p{Lu}\.?)+$")
 
 
 def _is_female(title: Column) -> Column:
@@ -179,11 +218,12 @@ def _given(title: Column, given: Column, key: str, attempt: int) -> tuple[Column
 
 
 def _name(m: Column, key: str, attempt: int, crowded: Column) -> Column:
-    """``attempt``: which keyed choice of given names; where ``crowded``, the enciphered given name is hyphenated to it, a bijection."""
+    """``attempt``: which keyed choice of given names; where ``crowded``, the enciphered given name is hyphenated to it, a bijection. Initials are enciphered."""
     title, given, between, family = _person(m)
     plain, _ = _given(title, given, key, attempt)
-    other = F.when(crowded, F.concat(plain, F.lit("-"), encipher(given, key, F.lit("given"), SOUNDS))).otherwise(plain)
-    between = F.transform(between, lambda w: encipher(w, key, F.lit("family"), SOUNDS))
+    own = encipher(given, key, F.lit("given"), SOUNDS)
+    other = F.when(_is_initial(given), own).when(crowded, F.concat(plain, F.lit("-"), own)).otherwise(plain)
+    between = F.transform(between, lambda w: F.when(w.isin(*PARTICLES), w).otherwise(encipher(w, key, F.lit("family"), SOUNDS)))
     return F.array_join(F.flatten(F.array(F.array(title), F.when(given != "", F.array(other)).otherwise(F.array().cast("array<string>")), between, F.array(encipher(family, key, F.lit("family"), SOUNDS)))), " ")
 
 
@@ -220,7 +260,7 @@ def crowded_names(names: DataFrame, key: str, attempt: int = 0) -> DataFrame:
     title, given, between, family = _person(F.col("name"))
     choice, at = _given(title, given, key, attempt)
     held = ["_female", "_between", "_family", "_choice"]
-    people = names.select("name", _is_female(title).alias("_female"), F.array_join(between, " ").alias("_between"), family.alias("_family"), choice.alias("_choice"), F.struct(at.isNull().alias("foreign"), given.alias("given")).alias("_who")).where(given != "")
+    people = names.select("name", _is_female(title).alias("_female"), F.array_join(between, " ").alias("_between"), family.alias("_family"), choice.alias("_choice"), F.struct(at.isNull().alias("foreign"), given.alias("given")).alias("_who")).where((given != "") & ~_is_initial(given))
     holders = people.groupBy(*held).agg(F.min("_who").alias("_holder"), F.max("_who").alias("_last")).where("_holder <> _last").drop("_last")
     return people.join(holders, held).where("_who <> _holder").select("name")
 

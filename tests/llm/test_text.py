@@ -190,6 +190,29 @@ def test_crowded_given_names(spark, monkeypatch, lists):
     assert pii.collisions(df, "k1", 0).count() == 0
 
 
+def test_names_and_addresses_of_every_form(spark):
+    names = ["Mr McDonald", "Mr O'Brien", "Mrs Smith-Jones", "Mr John McDonald", "Mr J. Smith", "Mr John Paul Smith", "Herr Ludwig van Beethoven", "Señora de la Cruz", "Señor Muñoz", "Mr Παπαδόπουλος", "Господин Щёлоков", "Mr Smith"]
+    mails = ["иван.щёлоков@corp.net", "γιώργος@corp.net", "王小明@corp.net", "김철수@corp.net", "ÀÉÎ.ğış@corp.net", "שלום@corp.net", "jose\u0301@corp.net"]
+    df = spark.createDataFrame([(i, f"x {p} y") for i, p in enumerate(names + mails)] + [(90, "x Mr Smith's y"), (91, "x Mr Smith2 y"), (92, "Señor Muñoz de Señora Muñoz")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.protect(df, "k1").collect()}
+    for i, p in enumerate(names + mails):
+        new = out[i]["text"][2:-2]
+        assert out[i]["n_entities"] == 1 and out[i]["text"] == f"x {new} y" and new != p
+        kept = set(re.split(r"[ .@'-]", new)) & set(re.split(r"[ .@'-]", p))
+        assert kept <= {"", "Mr", "Mrs", "Herr", "Señora", "Señor", "Господин", "van", "de", "la", "net"}, (p, new)
+        if p in mails:  # letters stay letters, and of 4 or more of a word most move
+            local, own = new.split("@")[0], p.split("@")[0]
+            assert len(local) == len(own) and sum(a == b for a, b in zip(local, own, strict=True)) <= len(own) // 2
+        else:
+            assert not set(names[i].split()[-1].split("-")) & set(re.split(r"[ -]", new))
+    assert len({r["text"] for r in out.values()}) == len(out)
+    assert out[90]["text"] == out[11]["text"][:-2] + "'s y" and out[91]["text"] == "x Mr Smith2 y" and out[92]["n_entities"] == 2
+    for low, n in ((0x410, 64), (0x3B1, 25), (0x5D0, 27), (0x4E00, 3000), (0xAC00, 3000), (0xC0, 400)):
+        s = spark.range(n).select(F.decode(F.unhex(F.lpad(F.hex(F.col("id") + low), 8, "0")), "UTF-32").alias("s"))
+        moved = s.select("s", pii.encipher(F.concat("s", F.lit("x")), "key", F.lit("t"), pii.LETTERS).alias("c"))
+        assert moved.select("c").distinct().count() == n
+
+
 def test_cipher_is_a_bijection(spark):
     df = spark.range(10_000).select(F.format_string("%04d", F.col("id")).alias("s"))
     assert df.select(pii.encipher(F.col("s"), "key", F.lit("t"), pii.DIGITS).alias("c")).distinct().count() == 10_000
