@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,19 +53,18 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
         from lumenloom.llm import vocab, worker
 
         worker.enter("vocab")
-        end = end_id.to_bytes(4, "little")
-        encode = vocab.encoder(tokenizer_path, kept_pieces).encode
+        encoder = vocab.encoder(tokenizer_path, kept_pieces)
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids_of), 256):
-                rows = []
-                for doc_id, ids in zip(ids_of[at : at + 256], encode(texts.slice(at, 256).to_pylist()), strict=True):
-                    ids += end
-                    for start in range(0, len(ids) // 4, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+            for lo, hi, ids, bounds in encoder.documents(batch.column(1), end_id):
+                size = np.diff(bounds)
+                pieces = -(-size // capacity)
+                doc = np.repeat(np.arange(hi - lo), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(capacity, size[doc] - start)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip((bounds[doc] + start).tolist(), length.tolist(), strict=True)]
+                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (start, length, crc, size[doc]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
@@ -80,7 +80,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, pieces_per_
     each for itself; an empty table gives no rows; other columns are ignored. ``kept_pieces`` bounds the
     encoder's cache in each worker: fewer cost time, not results.
     """
-    pieces = base.materialize(cut_pieces(docs, tokenizer_path, capacity=capacity, kept_pieces=kept_pieces), "pieces")
+    with base.small_batches(docs.sparkSession):
+        pieces = base.materialize(cut_pieces(docs, tokenizer_path, capacity=capacity, kept_pieces=kept_pieces), "pieces")
     groups = max(1, round(pieces.count() / pieces_per_group))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lumenloom.llm import base
 
 MANIFEST = "part int, file string, first_doc long, docs long, tokens long, bytes long"
+_MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("first_doc", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
 
 def _files(uri: str):
@@ -28,16 +29,17 @@ def ids_crc32(ids) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, width: int = 2, parts: int | None = None, frame_bytes: int = 1 << 18) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, width: int = 2, parts: int | None = None, frame_bytes: int = 1 << 16, kept_pieces: int = 400_000) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write one token file per range of doc_id below ``path``.
 
     Each document is its ids and then ``end_id``. A null or empty text gives ``end_id``
     alone; null doc_ids come first; rows that share a doc_id are all written, ordered by
     text; other columns are ignored; an empty table writes no file. ``width`` is the
-    bytes of an id (2 where the vocabulary has at most 65,536 ids). Texts are shuffled
-    once, by range of doc_id; a task holds one batch of texts and one frame. A file is
-    written under a name of its task attempt and then renamed, so a repeated or
-    speculative attempt leaves the same file. Returns the manifest, one row per file.
+    bytes of an id; a vocabulary with larger ids raises ValueError. Texts are shuffled
+    once, by range of doc_id; a task holds one batch of texts, the ids of one block of
+    them and one frame. Each task attempt writes a file of its own name, and the manifest
+    (one row per file, returned) names those of the attempts that were committed; files
+    of other attempts are deleted afterwards.
     """
     spark = docs.sparkSession
     base.ship(spark)
@@ -46,33 +48,46 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         from lumenloom.llm import seekable, vocab, worker
 
         worker.enter("vocab")
+        encoder = vocab.encoder(tokenizer_path, kept_pieces)
+        if max(encoder.largest_id, end_id) >= 1 << 8 * width:
+            raise ValueError(f"ids of {tokenizer_path} do not fit into {width} bytes")
         part = TaskContext.get().partitionId()
         fs, root = _files(path)
-        out = writer = None
-        encode, end = vocab.encoder(tokenizer_path).encode, end_id.to_bytes(4, "little")
-        first, docs_n, tokens = None, 0, 0
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
+        out = writer = first = None
+        docs_n, tokens = 0, 0
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids_of), 256):
-                for doc_id, ids in zip(ids_of[at : at + 256], encode(texts.slice(at, 256).to_pylist()), strict=True):
-                    if writer is None:
-                        fs.create_dir(root, recursive=True)
-                        draft = f"{root}/.draft-{uuid.uuid4().hex}"
-                        out = fs.open_output_stream(draft)
-                        writer, first = seekable.Writer(out, width, frame_bytes), doc_id
-                    ids = np.frombuffer(ids + end, dtype="<u4")
-                    writer.add(doc_id, ids)
-                    docs_n, tokens = docs_n + 1, tokens + len(ids)
+            ids_of = batch.column(0).to_pylist()
+            for lo, hi, ids, bounds in encoder.documents(batch.column(1), end_id):
+                if writer is None:
+                    fs.create_dir(root, recursive=True)
+                    out = fs.open_output_stream(f"{root}/{name}")
+                    writer, first = seekable.Writer(out, width, frame_bytes), ids_of[lo]
+                ends = bounds.tolist()
+                for k in range(hi - lo):
+                    writer.add(ids_of[lo + k], ids[ends[k] : ends[k + 1]])
+                docs_n, tokens = docs_n + hi - lo, tokens + len(ids)
         if writer is not None:
             writer.close()
             out.close()
-            name = f"part-{part:06d}.tok"
-            fs.move(draft, f"{root}/{name}")
             size = fs.get_file_info(f"{root}/{name}").size
-            yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{path}/{name}", "first_doc": first, "docs": docs_n, "tokens": tokens, "bytes": size}], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("first_doc", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{path}/{name}", "first_doc": first, "docs": docs_n, "tokens": tokens, "bytes": size}], schema=_MANIFEST)
 
     ordered = docs.select("doc_id", "text").repartitionByRange(parts or base.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return base.materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    with base.small_batches(spark):
+        manifest = base.materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    _drop_strays(path, {r["file"].rsplit("/", 1)[1] for r in manifest.select("file").collect()})
+    return manifest
+
+
+def _drop_strays(path: str, named: set[str]) -> None:
+    """Delete the token files of task attempts that were not committed."""
+    from pyarrow import fs as pa_fs
+
+    fs, root = _files(path)
+    for info in fs.get_file_info(pa_fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.endswith(".tok") and info.base_name not in named:
+            fs.delete_file(info.path)
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, wanted: Iterable[int] | None = None, with_ids: bool = False) -> DataFrame:
