@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Endings that mark an edited photo, the full sidecar suffix and its shortest cut.
-EDITED_SUFFIXES = ("-edited", "_edited", "-edit", "_edit", " edited", " (edited)")
+# The full sidecar suffix and its shortest cut.
 SIDECAR_SUFFIX, SIDECAR_SHORTEST = ".supplemental-metadata", 5
 
 
@@ -24,16 +23,22 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
 
 
-def _timestamp(text: Column, pattern: str, groups: tuple[int, ...], low: int = 1, high: int = 9999) -> Column:
-    """The first match's fields as a timestamp; missing fields are day 1 and midnight."""
-    part = [F.regexp_extract(text, pattern, g).try_cast("int") for g in groups]
-    y, mo, *rest = part
-    d, h, mi, s = (*rest, *(F.lit(v) for v in (1, 0, 0, 0)[len(rest) :]))
-    return F.when(y.between(low, high) & (s <= 59), F.try_make_timestamp_ntz(y, mo, d, h, mi, s.cast("decimal(16,6)")))
+def _timestamp(text: Column, pattern: str, fields: int = 6, low: int = 1, high: int = 9999) -> Column:
+    """The digits of the first match as a timestamp: year, month and so on; missing fields are day 1 and midnight.
+
+    One search per pattern: the digits are packed and bound once, and their fields cut out.
+    """
+    packed = F.regexp_replace(F.regexp_extract(text, pattern, 0), r"\D", "")
+
+    def made(p: Column) -> Column:
+        y, mo, *rest = (F.substring(p, at, n).try_cast("int") for at, n in ((1, 4), (5, 2), (7, 2), (9, 2), (11, 2), (13, 2))[:fields])
+        d, h, mi, s = (*rest, *(F.lit(v) for v in (1, 0, 0, 0)[len(rest) :]))
+        return F.when((p != "") & y.between(low, high) & (s <= 59), F.try_make_timestamp_ntz(y, mo, d, h, mi, s.cast("decimal(16,6)")))
+
+    return F.transform(F.array(packed), made)[0]
 
 
 _PACKED = r"(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})"
-_ALL = (1, 2, 3, 4, 5, 6)
 
 
 def date_pattern(name: Column) -> Column:
@@ -43,39 +48,39 @@ def date_pattern(name: Column) -> Column:
 
 def pattern_timestamp(name: Column) -> Column:
     """The first YYYYMMDD_HHMMSS anywhere in the name."""
-    return _timestamp(name, _PACKED, _ALL)
+    return _timestamp(name, _PACKED)
 
 
 def ladder_timestamp(name: Column) -> Column:
     """Five patterns over the stem, years 1990 to 2100; an invalid match falls through to the next."""
     own = stem(name)
     return F.coalesce(
-        _timestamp(own, r"(\d{4})(\d{2})(\d{2})[_-](\d{2})(\d{2})(\d{2})", _ALL, 1990, 2100),
-        _timestamp(own, r"(\d{4})-(\d{2})-(\d{2})-(\d{2})-(\d{2})-(\d{2})", _ALL, 1990, 2100),
-        _timestamp(own, r"(\d{4})(\d{2})(\d{2})", (1, 2, 3), 1990, 2100),
-        _timestamp(own, r"(\d{4})-(\d{2})-(\d{2})", (1, 2, 3), 1990, 2100),
-        _timestamp(own, r"^(\d{4})-(\d{2})[_-]", (1, 2), 1990, 2100),
+        _timestamp(own, r"(\d{4})(\d{2})(\d{2})[_-](\d{2})(\d{2})(\d{2})", 6, 1990, 2100),
+        _timestamp(own, r"(\d{4})-(\d{2})-(\d{2})-(\d{2})-(\d{2})-(\d{2})", 6, 1990, 2100),
+        _timestamp(own, r"(\d{4})(\d{2})(\d{2})", 3, 1990, 2100),
+        _timestamp(own, r"(\d{4})-(\d{2})-(\d{2})", 3, 1990, 2100),
+        _timestamp(own, r"^(\d{4})-(\d{2})[_-]", 2, 1990, 2100),
     )
 
 
 def merge_timestamp(name: Column) -> Column:
     """Date and time apart by _ or else -, over the full name, years 1990 to 2100."""
-    return F.coalesce(_timestamp(name, _PACKED, _ALL, 1990, 2100), _timestamp(name, _PACKED.replace("_", "-"), _ALL, 1990, 2100))
+    return F.coalesce(_timestamp(name, _PACKED, 6, 1990, 2100), _timestamp(name, _PACKED.replace("_", "-"), 6, 1990, 2100))
 
 
 def capture_timestamp(name: Column) -> Column:
     """Camera prefixes anywhere, else a leading date and time, else hyphenated fields."""
     own = stem(name)
     return F.coalesce(
-        _timestamp(own, rf"(?:IMG|VID|PXL)_{_PACKED}", _ALL),
-        _timestamp(own, rf"^{_PACKED}", _ALL),
-        _timestamp(own, r"(\d{4})-(\d{2})-(\d{2})[-_](\d{2})-(\d{2})-(\d{2})", _ALL),
+        _timestamp(own, rf"(?:IMG|VID|PXL)_{_PACKED}"),
+        _timestamp(own, rf"^{_PACKED}"),
+        _timestamp(own, r"(\d{4})-(\d{2})-(\d{2})[-_](\d{2})-(\d{2})-(\d{2})"),
     )
 
 
 def event_date(name: Column) -> Column:
     """The day of the first date and time in the stem; the time is not checked."""
-    return _timestamp(stem(name), r"(\d{4})(\d{2})(\d{2})[_\-]\d{6}", (1, 2, 3)).cast("date")
+    return _timestamp(stem(name), r"(\d{4})(\d{2})(\d{2})[_\-]\d{6}", 3).cast("date")
 
 
 def without_person(own_stem: Column) -> Column:

@@ -16,10 +16,33 @@ def exact_groups(files: DataFrame, key: str = "md5") -> DataFrame:
 
 
 def keep_newest(files: DataFrame, key: str = "md5") -> DataFrame:
-    """Decide for each file of a duplicate group: the newest (then least path) is kept."""
-    w = W.partitionBy(key)
-    ranked = files.withColumn("copies", F.count("*").over(w)).where("copies > 1").withColumn("rank", F.row_number().over(w.orderBy(F.desc("mtime"), "path")))
-    return ranked.withColumn("action", F.when(F.col("rank") == 1, "keep").otherwise("move"))
+    """Decide for each file of a duplicate group: the newest (then least path) is kept. Groups are reduced to their keeper before the join, so none is gathered."""
+    newest = F.min(F.struct((-F.col("mtime")).alias("m"), F.col("path").alias("path")))
+    groups = files.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("copies"), newest.alias("_keeper")).where("copies > 1")
+    return files.join(groups, key).withColumn("action", F.when(F.col("path") == F.col("_keeper.path"), "keep").otherwise("move")).drop("_keeper")
+
+
+def rank_newest(files: DataFrame, key: str = "md5") -> DataFrame:
+    """As keep_newest, with each file's rank in its group; the window gathers a group."""
+    w = W.partitionBy(key).orderBy(F.desc("mtime"), "path")
+    return keep_newest(files, key).withColumn("rank", F.row_number().over(w))
+
+
+def keep_edited(files: DataFrame, key: str = "md5") -> DataFrame:
+    """As keep_newest, but of a group that holds an edited file and its original (same folder, name without -edited) originals go and edited files stay; adds reason.
+
+    Both rules need the group's keeper and whether it has such a pair only, which are
+    grouped values joined back.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    own = keep_newest(files, key).withColumn("_edited", name.rlike(r"(?i)^.+-edited\.[^.]+$")).withColumn("_original", F.concat(folder, F.regexp_replace(name, r"(?i)^(.+)-edited(\.[^.]+)$", "$1$2")))
+    originals = own.where("_edited").select(key, F.col("_original").alias("path")).distinct().withColumn("_of_pair", F.lit(True))
+    marked = own.join(originals, [key, "path"], "left").withColumn("_of_pair", F.coalesce("_of_pair", F.lit(False)) & ~F.col("_edited"))
+    paired = marked.where("_of_pair").select(key).distinct().withColumn("_paired", F.lit(True))
+    rows = marked.join(paired, key, "left").withColumn("_paired", F.coalesce("_paired", F.lit(False)))
+    reason = F.when(F.col("_paired") & F.col("_of_pair"), "original of an edited file").when(F.col("_paired") & F.col("_edited"), "edited").when(F.col("action") == "keep", "newest").otherwise("duplicate")
+    return rows.withColumn("reason", reason).withColumn("action", F.when(F.col("reason").isin("edited", "newest"), "keep").otherwise("move")).drop("_edited", "_original", "_of_pair", "_paired")
 
 
 def arbitrate(s_pixels: Column, s_codec: Column, s_size: Column, e_pixels: Column, e_codec: Column, e_size: Column) -> Column:
@@ -49,7 +72,8 @@ def duplicate_ladder(source: DataFrame, existing: DataFrame, size_tolerance: flo
     Both sides: path, date_pattern, size, duration, pixels, codec. Candidates are taken by
     path; the first that matches wins. Confidence: EXACT, HIGH, MEDIUM (same length,
     other size: arbitrated), LOW (only the pattern), NONE. Size is the test alone where
-    the source's duration is unknown.
+    the source's duration is unknown. Where a probe failed (no pixels or codec) the
+    existing file is kept.
     """
     e = existing.select(*(F.col(c).alias(f"e_{c}") for c in ("path", "date_pattern", "size", "duration", "pixels", "codec")))
     pairs = source.join(e, F.col("date_pattern") == F.col("e_date_pattern"), "left")
@@ -60,11 +84,12 @@ def duplicate_ladder(source: DataFrame, existing: DataFrame, size_tolerance: flo
     match = F.col("e_path").isNotNull() & F.when(timed, same_length).otherwise(near)
     decided = pairs.withColumn("match", match).withColumn("rank", F.row_number().over(W.partitionBy("path").orderBy(F.desc("match"), "e_path"))).where("rank = 1")
     a = arbitrate(F.col("pixels"), F.col("codec"), F.col("size"), F.col("e_pixels"), F.col("e_codec"), F.col("e_size"))
+    probed = F.greatest(*(F.col(c).isNull().cast("int") for c in ("pixels", "codec", "e_pixels", "e_codec"))) == 0
     confidence = F.when(F.col("e_path").isNull(), "NONE").when(~F.col("match"), "LOW").when(near & (apart <= 0.01), "EXACT").when(near, "HIGH").otherwise("MEDIUM")
     return decided.withColumn("confidence", confidence).withColumn("_a", a).select(
         "path", "confidence", F.col("e_path").alias("existing_path"), F.col("match").alias("is_duplicate"),
-        F.when(F.col("confidence") == "MEDIUM", F.col("_a.prefer_existing")).otherwise(F.col("match")).alias("prefer_existing"),
-        F.when(F.col("confidence") == "MEDIUM", F.col("_a.rung")).alias("rung"),
+        F.when(F.col("confidence") == "MEDIUM", ~probed | F.col("_a.prefer_existing")).otherwise(F.col("match")).alias("prefer_existing"),
+        F.when(F.col("confidence") == "MEDIUM", F.when(probed, F.col("_a.rung")).otherwise("unknown")).alias("rung"),
     )
 
 

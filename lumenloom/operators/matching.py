@@ -18,10 +18,11 @@ def index_lookup(wanted: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def leftovers(source: DataFrame, organized: DataFrame) -> DataFrame:
-    """Adds status by file name and then size: duplicate, same_name_different_size, not_found."""
-    sizes = organized.groupBy("name").agg(F.collect_set("size").alias("_sizes"))
-    status = F.when(F.col("_sizes").isNull(), "not_found").when(F.array_contains("_sizes", F.col("size")), "duplicate").otherwise("same_name_different_size")
-    return source.join(sizes, "name", "left").withColumn("status", status).drop("_sizes")
+    """Adds status by file name and then size: duplicate, same_name_different_size, not_found. A name's sizes are joined, not gathered."""
+    names = organized.select("name").distinct().withColumn("_named", F.lit(True))
+    pairs = organized.select("name", "size").distinct().withColumn("_same", F.lit(True))
+    status = F.when(F.col("_same"), "duplicate").when(F.col("_named"), "same_name_different_size").otherwise("not_found")
+    return source.join(names, "name", "left").join(pairs, ["name", "size"], "left").withColumn("status", status).select(*source.columns, "status")
 
 
 def archive_missing(archive: DataFrame, index: DataFrame) -> DataFrame:
@@ -84,6 +85,16 @@ def cache_upsert(cache: DataFrame, fresh: DataFrame, values: list[str]) -> DataF
     return cache.join(f, "path", "full").select("path", F.coalesce("_m", "mtime").alias("mtime"), F.coalesce("_s", "size").alias("size"), *(F.coalesce(F.col(f"_{v}"), F.when(same, F.col(v))).alias(v) for v in values))
 
 
+def cache_transfer(cache: DataFrame, moves: DataFrame) -> DataFrame:
+    """Entries follow the files of ``moves`` (old, new) to their new path; an entry that another one moves onto is gone."""
+    moved = cache.join(moves.select(F.col("old").alias("path"), F.col("new").alias("_new")), "path", "left")
+    taken = moved.where("_new is not null and _new <> path").select(F.col("_new").alias("path")).distinct()
+    stays = moved.where("_new is null or _new = path").join(taken, "path", "left_anti")
+    values = [c for c in cache.columns if c != "path"]
+    gone = moved.where("_new is not null and _new <> path").select(F.col("_new").alias("path"), *values)
+    return stays.select("path", *values).unionByName(gone)
+
+
 def most_common(rows: DataFrame, by: str, value: str, first_seen: str) -> DataFrame:
     """The most frequent ``value`` per ``by``; of a tie the one seen first."""
     n = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"), F.min(first_seen).alias("seen"))

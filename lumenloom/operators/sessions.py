@@ -76,19 +76,25 @@ def dense_day_spans(rows: DataFrame, threshold: int, by: str = "dir", day: str =
 
 
 def context(rows: DataFrame, blurry: Column, seconds: int = 300, count: int = 3) -> DataFrame:
-    """The 2 * ``count`` rows nearest in time to each blurry row, within ``seconds`` in its folder.
+    """The 2 * ``count`` rows nearest in time to each blurry row, within ``seconds`` in its folder; of a tie the least event_id.
 
-    The band join is an equi join on (folder, time slice of ``seconds``): a row looks in
-    its own slice and in both next to it, so the work per row is bounded by what lies in
-    reach. Columns: event_id, neighbor_id, neighbor_blur, diff_seconds, position, nearness.
+    The nearest lie among that many rows before, after and at the same time, so they are
+    read off windows over (dir, ts), in linear time however dense a folder is. Columns:
+    event_id, neighbor_id, neighbor_blur, diff_seconds, position, nearness.
     """
-    slice_ = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
-    near = rows.where("ts is not null").select("dir", slice_.alias("slice"), F.col("ts").alias("neighbor_ts"), F.col("event_id").alias("neighbor_id"), F.col("blur").alias("neighbor_blur"))
-    own = rows.where(blurry & F.col("ts").isNotNull()).select("dir", "event_id", "ts", F.explode(F.array(slice_ - 1, slice_, slice_ + 1)).alias("slice"))
-    signed = seconds_between(F.col("ts"), F.col("neighbor_ts"))
-    pairs = own.join(near, ["dir", "slice"]).where("event_id <> neighbor_id").withColumn("signed", signed).where(F.abs("signed") <= seconds)
-    ranked = pairs.withColumn("nearness", F.row_number().over(W.partitionBy("event_id").orderBy(F.abs("signed"), "neighbor_id"))).where(F.col("nearness") <= 2 * count)
-    return ranked.select("event_id", "neighbor_id", "neighbor_blur", F.abs("signed").alias("diff_seconds"), F.when(F.col("signed") < 0, "before").otherwise("after").alias("position"), "nearness")
+    k = 2 * count
+    own = F.struct(F.col("ts").alias("t"), F.col("event_id").alias("id"), F.col("blur").alias("blur"))
+    # Among rows of one time the least ids come first on both sides.
+    before = W.partitionBy("dir").orderBy("ts", F.desc("event_id"))
+    after = W.partitionBy("dir").orderBy("ts", "event_id")
+    same = W.partitionBy("dir", "ts").orderBy("event_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    at = [*(F.lag(own, j).over(before) for j in range(1, k + 1)), *(F.lead(own, j).over(after) for j in range(1, k + 1)), *(F.nth_value(own, j).over(same) for j in range(1, k + 2))]
+    near = rows.where("ts is not null").withColumn("_near", F.array(*at)).where(blurry).select("event_id", "ts", "_near")
+    signed = lambda x: seconds_between(F.col("ts"), x["t"])
+    fits = lambda x: x.isNotNull() & (x["id"] != F.col("event_id")) & (F.abs(signed(x)) <= seconds)
+    ranked = F.array_sort(F.array_distinct(F.transform(F.filter("_near", fits), lambda x: F.struct(F.abs(signed(x)).alias("diff"), x["id"].alias("id"), x["blur"].alias("blur"), (signed(x) < 0).alias("earlier")))))
+    out = near.select("event_id", F.posexplode(F.slice(ranked, 1, k)).alias("_at", "n"))
+    return out.select("event_id", F.col("n.id").alias("neighbor_id"), F.col("n.blur").alias("neighbor_blur"), F.col("n.diff").alias("diff_seconds"), F.when(F.col("n.earlier"), "before").otherwise("after").alias("position"), (F.col("_at") + 1).alias("nearness"))
 
 
 def blurry_with_context(rows: DataFrame, seconds: int = 300, sharp_seconds: int = 300) -> DataFrame:

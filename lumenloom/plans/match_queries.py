@@ -18,7 +18,7 @@ def duplicate_waste(spark, sf_dir):
 
 
 def keep_newest(spark, sf_dir):
-    return duplicates.keep_newest(fx.files(spark, sf_dir)).select("path", "md5", "copies", "rank", "action")
+    return duplicates.rank_newest(fx.files(spark, sf_dir)).select("path", "md5", "copies", "rank", "action")
 
 
 def phash_bits(spark, sf_dir):
@@ -30,9 +30,7 @@ def phash_pairs(spark, sf_dir):
 
 
 def phash_components(spark, sf_dir):
-    rows = fx.hashes(spark, sf_dir)
-    found = similarity.components(similarity.hamming_pairs(rows))
-    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return similarity.grouped(fx.hashes(spark, sf_dir)).select("id", "component")
 
 
 def leftover_check(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenloom.functions import labels
-from lumenloom.operators import events, sessions
+from lumenloom.operators import events, quantiles, sessions
 from lumenloom.plans import fixtures as fx
 
 #: Seconds between the captures of one folder that still make a burst on these tables.
@@ -69,8 +69,9 @@ def blur_bands(spark, sf_dir):
 
 
 def blur_distribution(spark, sf_dir):
-    q = F.percentile("blur", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    return fx.captures(spark, sf_dir).agg(F.count("blur").alias("n"), q.alias("q"), F.max("blur").alias("largest")).select("n", *(F.round(F.col("q")[k], 6).alias(f"p{p}") for k, p in enumerate((10, 25, 50, 75, 90))), "largest")
+    rows = fx.captures(spark, sf_dir)
+    found = quantiles.exact_quantiles(rows, "blur", [0.1, 0.25, 0.5, 0.75, 0.9])
+    return rows.agg(F.count("blur").alias("n"), F.max("blur").alias("largest")).select("n", *(F.round(F.lit(q).cast("double"), 6).alias(f"p{p}") for q, p in zip(found, (10, 25, 50, 75, 90), strict=True)), "largest")
 
 
 def threshold_impact(spark, sf_dir):

@@ -2,32 +2,59 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """State as Parquet; none yet is an empty table."""
+CURRENT = "CURRENT"
+
+
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.schema(schema).parquet(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), lambda x: jvm.org.apache.hadoop.fs.Path(f"{path}/{x}")
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The version that is current: the newest of the markers, each of which is created whole or not at all."""
+    fs, below = _fs(spark, path)
+    if not fs.exists(below(CURRENT)):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(below(CURRENT))]
+    return max(names, default=None)
+
+
+def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """State as Parquet; none yet, or one that cannot be read, is an empty table."""
+    version = _version(spark, path)
+    if version is not None:
+        try:
+            found = spark.read.schema(schema).parquet(f"{path}/{version}")
+            found.limit(1).count()  # the footers
+            return found
+        except (AnalysisException, Py4JJavaError):
+            pass
     return spark.createDataFrame([], schema)
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write a new version next to the old one and then take its place, so that readers never see half of it."""
+    """Write a new version beside the current one and then mark it: readers see the old one or the new one, never none or half of one. Versions before the last are deleted."""
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old, own = (jvm.org.apache.hadoop.fs.Path(path + x) for x in (".new", ".old", ""))
-    fs = own.getFileSystem(conf)
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(own):
-        fs.rename(own, old)
-    fs.rename(new, own)
-    fs.delete(old, True)
+    fs, below = _fs(spark, path)
+    old = _version(spark, path)
+    new = f"{int(old.split('-')[0]) + 1 if old else 1:012d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{new}")
+    fs.mkdirs(below(f"{CURRENT}/{new}"))
+    for s in fs.listStatus(below(CURRENT)):
+        name = s.getPath().getName()
+        if name not in (old, new):
+            fs.delete(s.getPath(), True)
+            fs.delete(below(name), True)
 
 
 def append_log(moves: DataFrame, path: str) -> None:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.operators.storage import checkpointed
+from lumenloom.operators.storage import shared_folder
 
 
 def read_events(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
@@ -27,9 +27,19 @@ def sessions(stream: DataFrame, seconds: int) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run the stream over what is there now and return its complete result."""
+    """Run the stream over what is there now and return its complete result.
+
+    Each micro-batch writes the result so far as Parquet from the executors; nothing is
+    gathered on the driver.
+    """
     spark = stream.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lumenloom-stream-')}"
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{where}/{name}-{spark.sparkContext.applicationId}-{id(stream)}").trigger(availableNow=True).start()
+    where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    written: list[str] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{where}/{batch}")
+        written.append(f"{where}/{batch}")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return checkpointed(spark.table(name))
+    return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)
