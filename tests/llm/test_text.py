@@ -43,9 +43,9 @@ def test_toxicity(spark, corpus, empty):
     assert not any(r["score"] >= 0.7 for r in held if not r["toxic"])
     kept = toxicity.reject(corpus, model)
     assert kept.columns == corpus.columns and 0 < kept.count() < corpus.count()
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "idiot " * 50_000), (None, "x")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "idiot " * 50_000), (None, "x"), (4, "x" * 5_000_000), (None, "x")], "doc_id long, text string").withColumn("score", F.lit("clash")).coalesce(1)
     scores = [r["score"] for r in toxicity.score(odd, model).collect()]
-    assert len(scores) == 4 and all(0 <= s <= 1 for s in scores) and scores[0] == scores[1] and scores[2] >= 0.7
+    assert len(scores) == 6 and scores[3] == scores[5] and all(0 <= s <= 1 for s in scores) and scores[0] == scores[1] and scores[2] >= 0.7
     bare = toxicity.fit(corpus, empty.select("doc_id", F.lit(1).alias("toxic")))
     assert toxicity.score(empty, bare).count() == 0
     assert bare.scores(["you idiot, you moron, you scum"])[0] > bare.scores(["a fine day"])[0]
@@ -53,12 +53,37 @@ def test_toxicity(spark, corpus, empty):
 
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.3
-    votes = np.stack([np.where(y, rng.random(4000) < p, rng.random(4000) < q) for p, q in ((0.8, 0.02), (0.7, 0.05), (0.6, 0.03), (0.5, 0.45))], axis=1)
+    y = rng.random(6000) < 0.1
+    votes = np.stack([np.where(y, rng.random(6000) < p, rng.random(6000) < q) for p, q in ((0.7, 0.0), (0.6, 0.002), (0.5, 0.001), (0.03, 0.03))], axis=1)
     votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a copy of the first voter
-    posterior, accuracy, correlation = toxicity.label_model(votes, 0.3)
-    assert ((posterior > 0.5) == y).mean() > 0.9
-    assert accuracy[0] > 0.85 > 0.6 > accuracy[3] and correlation[0, 4] > 0.9
+    posterior, accuracy, correlation = toxicity.label_model(votes, np.array([False, False, False, True, False]))
+    assert ((posterior > 0.5) == y).mean() > 0.98
+    assert accuracy[0] > 0.85 > 0.5 > accuracy[3] and correlation[0, 4] > 0.9
+
+
+def test_no_label_reaches_the_label_model_or_the_classifier(spark, corpus):
+    """Labels choose voters and set the prior; what is trained afterwards depends on votes alone."""
+    labels = corpus.select("doc_id", "toxic")
+    model = toxicity.fit(corpus, labels)
+    texts = [r["text"] for r in corpus.select("text").collect()]
+    rows = sorted((c.astype(np.float32).tobytes(), w) for c, w in toxicity.voter_counts(model.voters, texts))
+    count = np.stack([np.frombuffer(x, np.float32) for x, _ in rows]).astype(np.float64)
+    share = labels.where("toxic = 1").count() / labels.count()
+    again = toxicity.learned(model.voters, count, np.array([w for _, w in rows]), share)
+    assert np.array_equal(again.weights, model.weights) and again.bias == model.bias
+
+
+def test_voters_against_regular_expressions():
+    rng = random.Random(4)
+    voters = {"fool$": 0, "fool": 1, "idio": 2, "idiots": 3, "pig$": 4, "über": 5}
+    bits = ["fool", "FOOL", "fools", "idiot", "idiots", "pig", "pigs", "überall", " ", "-", "1", "_", "²", ".", "tomfool", "!!!", "you are a "]
+    for _ in range(500):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 12)))
+        (count, words), low = toxicity.voter_counts(voters, [text])[0], text.lower()
+        for f, v in voters.items():
+            want = len(re.findall(rf"(?<![^\W\d_]){f.removesuffix('$')}" + (r"(?![^\W\d_])" if f.endswith("$") else ""), low))
+            assert count[v] == want, (text, f)
+        assert words == len(low.split()) and [count[len(voters) + k] for k in range(len(toxicity.PATTERNS))] == [len(re.findall(p, low)) for p, _ in toxicity.PATTERNS]
 
 
 def test_language(spark, corpus, empty):
