@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenloom.operators import storage
+
 _scratch: dict[str, list[str]] = {}
 _shipped: set[str] = set()
 
@@ -21,27 +25,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lumenloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset and all tasks run on this machine."""
+    return storage.shared_folder(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
+    """A new path below the shared folder; what is still there when the program ends is deleted then."""
     path = f"{shared_dir(spark)}/lumenloom/{name}-{uuid.uuid4().hex}"
     _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch paths; call it when no later read needs them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """The scratch paths of this application that are still there."""
+    return list(_scratch.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch paths that no later read needs."""
+    context = spark.sparkContext
+    own, jvm, conf = _scratch.get(context.applicationId, []), context._jvm, context._jsc.hadoopConfiguration()
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+        if path in own:
+            own.remove(path)
+
+
+@atexit.register
+def _release_all() -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and _scratch.get(context.applicationId):
+        with suppress(Exception):  # the session is ending, or its store is gone
+            spark = SparkSession.getActiveSession()
+            release(spark, scratch_paths(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
