@@ -54,11 +54,6 @@ def sharper(a: Column, b: Column) -> Column:
     return F.when(a > b * 1.1, "edited sharper").when(b > a * 1.1, "original sharper").otherwise("similar")
 
 
-def combined_blur(overall: Column, centre: Column) -> Column:
-    """Mostly the centre's score where it is more than twice the overall one."""
-    return F.when(centre > overall * 2, centre * 0.7 + overall * 0.3).otherwise(overall)
-
-
 def human_size(size: Column) -> Column:
     out, value = None, size.cast("double")
     for unit in ("B", "KB", "MB", "GB"):

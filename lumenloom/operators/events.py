@@ -37,7 +37,7 @@ def calendar_years(spark: SparkSession, first: int, last: int) -> DataFrame:
 
 def membership(rows: DataFrame, calendar: DataFrame, day: str = "day") -> DataFrame:
     """Rows whose day lies in an event's window, once per event. The calendar's few days a year are expanded and equi-joined."""
-    days = calendar.select("name", "place", "start_date", F.explode(F.sequence("start_date", "end_date")).alias(day))
+    days = calendar.select("name", "kind", "place", "start_date", F.explode(F.sequence("start_date", "end_date")).alias(day))
     return rows.join(days, day)
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenloom.functions import filenames, media, paths
+from lumenloom.functions import dates, filenames, media, paths
+from lumenloom.operators import matching
 
 
 def first_known(**sources: Column) -> tuple[Column, Column]:
@@ -17,6 +17,52 @@ def first_known(**sources: Column) -> tuple[Column, Column]:
     return F.coalesce(*sources.values()), name
 
 
+def archive_date(name: Column, exif: Column, mtime: Column) -> tuple[Column, Column]:
+    """Archived files: the name's date and time, else EXIF after 1980, else the file's time."""
+    return first_known(filename=filenames.pattern_timestamp(name), exif=dates.after_1980(dates.tool_date(exif)), file_mtime=mtime)
+
+
+def camcorder_date(exif: Column, container: Column, mtime: Column) -> tuple[Column, Column]:
+    """Camcorder files: the metadata tool, else the container, else the file's time, which is marked as unreliable."""
+    date, source = first_known(exiftool=dates.tool_date(exif), ffprobe=dates.container_date(container), file_mtime=mtime)
+    return date, F.when(source == "file_mtime", "file_mtime (unreliable)").otherwise(source)
+
+
+def event_day(name: Column, cached: Column, exif: Column) -> Column:
+    """Event foldering: the name's day, else the cache (0: known to have none, so nothing further is tried), else EXIF."""
+    of_cache = F.when(cached > 0, F.timestamp_seconds(cached).cast("timestamp_ntz").cast("date"))
+    return F.coalesce(filenames.event_date(name), F.when(cached.isNotNull(), of_cache).otherwise(dates.after_1980(dates.tool_date(exif)).cast("date")))
+
+
+def triage_seconds(cached: Column, mtime: Column) -> Column:
+    """Triage: the cache's time in seconds if it has one, else the file's, else 0."""
+    return F.coalesce(F.when(cached > 0, cached.cast("double")), F.unix_micros(mtime.cast("timestamp")) / 1e6, F.lit(0.0))
+
+
+def by_card(rows: DataFrame, by: str = "date", name: str = "name", mtime: str = "mtime", blur: str = "blur") -> DataFrame:
+    """``rows`` in the order of review cards: by blur, or by the name's (else the file's) date; ties by name."""
+    key = F.col(blur) if by == "blur" else F.coalesce(filenames.pattern_timestamp(F.col(name)), F.col(mtime))
+    return rows.withColumn("sort_key", key).orderBy(F.col("sort_key").asc_nulls_first(), name)
+
+
+def move_projects(files: DataFrame, existing: DataFrame) -> DataFrame:
+    """One row per project folder of ``files`` (dir, folder, ext, ts): files, destination and outcome.
+
+    A folder goes under the year of its most common month (of a tie the one seen first),
+    named by that month, with videos if these are at least as many as photos. Without a
+    date, or where ``existing`` (destination) has the place, it is skipped.
+    """
+    projects = project_folders(files).select("dir", "folder")
+    own = files.withColumn("_kind", media.kind(F.col("ext")))
+    n = own.groupBy("dir").agg(F.count_if(F.col("_kind") == "video").alias("videos"), F.count_if(F.col("_kind") == "photo").alias("photos"))
+    month = matching.most_common(own.withColumn("month", F.date_trunc("month", "ts")), "dir", "month", "ts").drop("n")
+    root = F.when(F.col("videos") >= F.col("photos"), "Organized_Videos").otherwise("Organized_Photos")
+    rows = projects.join(n, "dir").join(month, "dir", "left").withColumn("destination", F.concat(root, F.date_format("month", "/yyyy/MM "), F.col("folder")))
+    known = existing.select("destination").distinct().withColumn("_there", F.lit(True))
+    out = rows.join(known, "destination", "left")
+    return out.select("dir", (F.col("videos") + F.col("photos")).alias("files"), "destination", F.when(F.col("destination").isNull() | F.col("_there"), "skipped").otherwise("moved").alias("outcome"))
+
+
 def project_folders(files: DataFrame) -> DataFrame:
     """Folders (dir, folder) that move as a unit: a telling name and a media file directly in them."""
     has = files.groupBy("dir").agg(F.bool_or(media.kind(F.col("ext")) != "other").alias("has_media"))
@@ -54,7 +100,3 @@ def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 def empty_folders(files: DataFrame) -> DataFrame:
     """Folders without a media file: what may be cleaned up."""
     return files.groupBy("dir").agg(F.bool_or(media.kind(F.col("ext")) != "other").alias("has_media"), F.count("*").alias("files")).where("not has_media").drop("has_media")
-
-
-def best_per(rows: DataFrame, by: str, *order: Column) -> DataFrame:
-    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(by).orderBy(*order))).where("_nth = 1").drop("_nth")

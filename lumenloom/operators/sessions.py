@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenloom.functions import labels
+from lumenloom.operators.storage import checkpointed
 
 
 def seconds_between(a: Column, b: Column) -> Column:
@@ -23,6 +24,30 @@ def gap_groups(rows: DataFrame, seconds: float, by: str = "dir", ts: str = "ts",
     return rows.where(F.col(ts).isNotNull()).withColumn("group_id", F.sum(opens).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
+def gap_groups_over_all(rows: DataFrame, seconds: float, ts: str = "ts", id_: str = "event_id") -> DataFrame:
+    """As gap_groups, but over all rows, whatever their folder: adds group_id, from 1.
+
+    Rows are dealt to ranges of time and written; groups are numbered within a range, and
+    a row per range tells where its numbers begin and whether its first row carries the
+    last group of the range before on. No task sees all rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(rows.where(F.col(ts).isNotNull()).repartitionByRange(parts, ts).withColumn("_part", F.spark_partition_id()))
+    w = W.partitionBy("_part").orderBy(ts, id_)
+    opens = F.coalesce((seconds_between(F.lag(ts).over(w), F.col(ts)) > seconds).cast("long"), F.lit(0))
+    own = dealt.withColumn("_nth", F.sum(opens).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ends = own.groupBy("_part").agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.max("_nth").alias("n")).orderBy("lo").collect()  # a row per range
+    first, before, last = [], 0, None
+    for r in ends:
+        before += last is None or (r["lo"] - last).total_seconds() > seconds
+        first.append((r["_part"], before))
+        before, last = before + r["n"], r["hi"]
+    if not first:
+        return rows.withColumn("group_id", F.lit(None).cast("long")).where(F.lit(False))
+    starts = rows.sparkSession.createDataFrame(first, "_part int, _first long")
+    return own.join(F.broadcast(starts), "_part").withColumn("group_id", F.col("_first") + F.col("_nth")).drop("_part", "_first", "_nth")
+
+
 def group_spans(grouped: DataFrame, by: str = "dir", ts: str = "ts") -> DataFrame:
     """Size and span of each group."""
     return grouped.groupBy(by, "group_id").agg(F.count("*").alias("n"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"))

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenloom.operators import duplicates, events, kernels, matching, sessions, similarity
+from lumenloom.functions import dates
+from lumenloom.operators import duplicates, events, kernels, matching, quantiles, sessions, similarity
 from lumenloom.sources import listing, state
 
 START = datetime(2024, 1, 1)
@@ -157,3 +158,151 @@ def test_fragmented(spark):
     side = spark.createDataFrame([(5 * i + k, "a", f"{n}.supplemental-metadata.json") for i, (k, n) in enumerate([(0, "in.jpg"), (1, "ed.jpg"), (2, "out.jpg"), (3, "var.JPG"), (4, "aside.jpg"), (0, "gone.jpg")])], "event_id long, dir string, name string")
     got = sorted(tuple(r) for r in matching.fragmented(side, media).collect())
     assert got == [(12, f"{m}b/out.jpg", False), (18, f"{m}b/var-edited.JPG", True)]
+
+
+def test_context_with_ties_and_a_dense_folder(spark):
+    rng = random.Random(8)
+    rows = [(1, rng.randint(0, 12), float(rng.randint(1, 90))) for _ in range(90)]
+    got = sorted((r["event_id"], r["nearness"], r["neighbor_id"], r["position"]) for r in sessions.context(captures(spark, rows), F.col("blur") < 40, 5).collect())
+    want = []
+    for i, (_, s, b) in enumerate(rows):
+        if b < 40:
+            near = sorted((abs(t - s), j) for j, (_, t, _) in enumerate(rows) if j != i and abs(t - s) <= 5)[:6]
+            want += [(i, k + 1, j, "before" if rows[j][1] < s else "after") for k, (_, j) in enumerate(near)]
+    assert got == sorted(want)
+
+
+def test_groups_over_all_folders(spark):
+    rng = random.Random(5)
+    seconds, at = [], 0
+    for _ in range(400):
+        at += rng.choice([0, 1, 5, 6, 40])
+        seconds.append(at)
+    rows = captures(spark, [(i % 7, s, 1.0) for i, s in enumerate(seconds)])
+    got = {r["event_id"]: r["group_id"] for r in sessions.gap_groups_over_all(rows, 5).collect()}
+    group, want = 1, {0: 1}
+    for i in range(1, len(seconds)):
+        group += seconds[i] - seconds[i - 1] > 5
+        want[i] = group
+    assert got == want
+    assert sessions.gap_groups_over_all(rows.where("dir > 99"), 5).count() == 0
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    values = [*np.round(rng.normal(size=501), 2).tolist(), *[0.5] * 300, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    shares = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0]
+    assert np.allclose(quantiles.exact_quantiles(df, "v", shares), np.quantile([v for v in values if v is not None], shares))
+    assert quantiles.exact_quantiles(df.where("v is null"), "v", [0.5]) == [None]
+
+
+def test_equal_hashes_are_one_representative(spark):
+    rows = [(i, 0) for i in range(40)] + [(100, 3), (101, 3), (200, -1), (300, None)]
+    df = spark.createDataFrame(rows, "id long, hash long")
+    got = {r["id"]: (r["representative"], r["component"]) for r in similarity.grouped(df).collect()}
+    assert got == {i: (0, 0) for i in range(40)} | {100: (100, 0), 101: (100, 0), 200: (200, 200), 300: (300, 300)}
+    pairs = {(r["a"], r["b"]): r["distance"] for r in similarity.hamming_pairs(df).collect()}
+    assert len(pairs) == 40 * 39 // 2 + 40 * 2 + 1 and pairs[0, 1] == 0 and pairs[3, 101] == 2 and pairs[100, 101] == 0
+
+
+def test_failed_probes_keep_the_existing_file(spark):
+    schema = "path string, date_pattern string, size long, duration double, pixels long, codec string"
+    existing = spark.createDataFrame([("e", "d", 1000, 9.0, None, None)], schema)
+    source = spark.createDataFrame([("a", "d", 100, 9.0, 100, "hevc"), ("b", "d", 1000, 9.0, 100, "hevc")], schema)
+    got = {r["path"]: r for r in duplicates.archive_action(duplicates.duplicate_ladder(source, existing)).collect()}
+    assert (got["a"]["confidence"], got["a"]["prefer_existing"], got["a"]["rung"], got["a"]["action"]) == ("MEDIUM", True, "unknown", "skipped")
+    assert got["b"]["confidence"] == "EXACT"
+
+
+def test_edited_files_go_before_their_originals(spark):
+    rows = [("x/a.jpg", "1", 9), ("x/a-edited.jpg", "1", 5), ("x/c.jpg", "1", 3), ("y/b.jpg", "2", 1), ("z/b-edited.jpg", "2", 1), ("y/lone.jpg", "3", 1)]
+    got = {r["path"]: (r["action"], r["reason"]) for r in duplicates.keep_edited(spark.createDataFrame(rows, "path string, md5 string, mtime long")).collect()}
+    assert got == {"x/a.jpg": ("move", "original of an edited file"), "x/a-edited.jpg": ("keep", "edited"), "x/c.jpg": ("move", "duplicate"), "y/b.jpg": ("keep", "newest"), "z/b-edited.jpg": ("move", "duplicate")}
+
+
+def test_cache_entries_follow_their_files(spark):
+    cache = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "path string, v int")
+    moves = spark.createDataFrame([("a", "b"), ("x", "c"), ("b", "d")], "old string, new string")
+    assert sorted(map(tuple, matching.cache_transfer(cache, moves).collect())) == [("b", 1), ("c", 3), ("d", 2)]
+
+
+def test_leftovers_of_a_frequent_name(spark):
+    organized = spark.createDataFrame([("a", i) for i in range(50)] * 2, "name string, size long")
+    source = spark.createDataFrame([("a", 7), ("a", 99), ("b", 7)], "name string, size long")
+    assert [r["status"] for r in matching.leftovers(source, organized).orderBy("name", "size").collect()] == ["duplicate", "same_name_different_size", "not_found"]
+
+
+def test_similarity_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    a, b = rng.random((2, 9, 9)) * 255
+    k = np.exp(-((np.arange(11) - 5) ** 2) / 4.5)
+    k = np.outer(k, k) / np.outer(k, k).sum()
+
+    def mirrored(i, n):
+        while not 0 <= i < n:
+            i = -i if i < 0 else 2 * (n - 1) - i
+        return i
+
+    def blurred(x):
+        n = len(x)
+        return np.array([[sum(k[u, v] * x[mirrored(i + u - 5, n), mirrored(j + v - 5, n)] for u in range(11) for v in range(11)) for j in range(n)] for i in range(n)])
+
+    ma, mb = blurred(a), blurred(b)
+    va, vb, ab = blurred(a * a) - ma * ma, blurred(b * b) - mb * mb, blurred(a * b) - ma * mb
+    want = (((2 * ma * mb + 6.5025) * (2 * ab + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))).mean()
+    assert np.allclose(kernels.ssim_scores(a[None], b[None])[0], want)
+    assert kernels.resized(a[None], 9) is not None and np.allclose(kernels.resized(np.ones((1, 8, 8)) * 3, 4), 3)
+    assert np.allclose(kernels.resized(np.arange(4.0)[None, None, :].repeat(4, 1), 2)[0, 0], [0.5, 2.5])
+
+
+def test_edges_and_hashes():
+    step = np.zeros((1, 16, 16))
+    step[:, :, 8:] = 200
+    assert kernels.edge_densities(np.zeros((2, 16, 16))).tolist() == [0, 0]
+    assert np.isclose(kernels.edge_densities(step)[0], 1 / 16) and np.isclose(kernels.edge_densities(step.transpose(0, 2, 1))[0], 1 / 16)
+    assert kernels.edge_densities(step / 20)[0] == 0
+    x = np.random.default_rng(6).random((32, 32))
+    c = lambda n: np.sqrt((1 if n == 0 else 2) / 32)
+    low = [[c(u) * c(v) * sum(x[i, j] * np.cos(np.pi * (2 * i + 1) * u / 64) * np.cos(np.pi * (2 * j + 1) * v / 64) for i in range(32) for j in range(32)) for v in range(8)] for u in range(8)]
+    flat = np.array(low).ravel()
+    want = int("".join("1" if v > np.median(flat[1:]) else "0" for v in flat), 2)
+    assert int(kernels.hash_of_pixels(x[None]).view(np.uint64)[0]) == want
+
+
+def test_corrupt_state_is_empty_and_versions_change_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    for v in range(4):
+        state.replace(spark.createDataFrame([("a", v)], "k string, v int"), path)
+        assert state.read(spark, path, "k string, v int").first()["v"] == v
+    versions = [d for d in (tmp_path / "state").iterdir() if d.name != "CURRENT"]
+    assert len(versions) == 2
+    for f in max(versions).glob("*.parquet"):
+        f.write_bytes(b"not a table")
+    for f in max(versions).glob(".*.crc"):
+        f.unlink()
+    assert state.read(spark, path, "k string, v int").count() == 0
+
+
+def test_logs_lists_and_tool_readers(spark, tmp_path):
+    log = spark.createDataFrame([(1, "a", "b", "x", START), (2, "c", "d", "x", START)], "seq long, source string, destination string, reason string, ts timestamp_ntz")
+    state.append_log(log.where("seq = 1"), f"file://{tmp_path}/log")
+    state.append_log(log.where("seq = 2"), f"file://{tmp_path}/log")
+    assert [tuple(r) for r in state.replay(spark.read.parquet(f"file://{tmp_path}/log")).collect()] == [(2, "d", "c"), (1, "b", "a")]
+    state.write_csv(spark.createDataFrame([("p", ["x", "y"])], "path string, names array<string>").coalesce(1), f"file://{tmp_path}/csv")
+    assert next((tmp_path / "csv").glob("*.csv")).read_text() == "path,names\np,x; y\n"
+    state.write_lines(spark.createDataFrame([(1,), (2,)], "n int").coalesce(1), "n", f"file://{tmp_path}/txt")
+    assert next((tmp_path / "txt").glob("*.txt")).read_text() == "1\n2\n"
+    (tmp_path / "exif.json").write_text('{"path": "a", "DateTimeOriginal": "0000:00:00 00:00:00", "CreateDate": "2019:03:14 16:54:23-07:00"}\n{"path": "b", "CreateDate": "1970:01:01 00:00:00"}\n')
+    assert {r["path"]: r["exif_ts"] for r in listing.exif(spark, str(tmp_path / "exif.json")).collect()} == {"a": datetime(2019, 3, 14, 16, 54, 23), "b": None}
+    (tmp_path / "probe.json").write_text('{"path": "a", "codec": "h264", "width": 1920, "height": 1080, "bitrate": 62208000, "duration": 2.5, "file_size": 9}\n{"path": "b"}\n')
+    assert [(r["path"], r["pixels"], r["bpp"]) for r in listing.probes(spark, str(tmp_path / "probe.json")).orderBy("path").collect()] == [("a", 2073600, 1.0), ("b", None, None)]
+    (tmp_path / "streams.json").write_text('{"path": "a", "streams": [{"codec_type": "video", "codec_name": "hevc", "width": 10, "height": 5, "duration": 1.0}]}\n')
+    assert listing.streams(spark, str(tmp_path / "streams.json")).first()["streams"][0]["codec_name"] == "hevc"
+
+
+def test_dates_of_tools_and_containers(spark):
+    rows = [("2019:03:14 16:54:23-07:00 DST", "2024-05-04T11:39:16.000000Z"), ("2019:03:14 16:54", "2024-05-04T11:39:16Z"), ("1975:01:01 00:00:00", "2024"), ("", None), (None, "")]
+    df = spark.createDataFrame(rows, "tool string, container string")
+    got = [tuple(r) for r in df.select(dates.tool_date(F.col("tool")), dates.container_date(F.col("container")), dates.after_1980(dates.tool_date(F.col("tool")))).collect()]
+    assert got == [(datetime(2019, 3, 14, 16, 54, 23), datetime(2024, 5, 4, 11, 39, 16), datetime(2019, 3, 14, 16, 54, 23)), (datetime(2019, 3, 14, 16, 54), datetime(2024, 5, 4, 11, 39, 16), datetime(2019, 3, 14, 16, 54)), (datetime(1975, 1, 1), None, None), (None, None, None), (None, None, None)]
