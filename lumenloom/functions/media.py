@@ -93,6 +93,11 @@ def verification(size: Column, before: Column, after: Column, codec: Column, tol
     )
 
 
+def bitrate_per_pixel(bitrate: Column, pixels: Column) -> Column:
+    """0 where either is unknown or zero."""
+    return F.when((pixels > 0) & (bitrate > 0), bitrate.cast("double") / pixels).otherwise(0.0)
+
+
 def bits_per_pixel(bitrate: Column, width: Column, height: Column) -> Column:
     return F.try_divide(bitrate.cast("double"), (width * height).cast("double")) / FRAMES_PER_SECOND
 

@@ -105,6 +105,20 @@ def insert_new(incoming: DataFrame, index: DataFrame, keys: list[str], order: li
     return fresh.withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
+def free_numbers(rows: DataFrame, existing: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds number: the suffix that each row gets among those that want one name (``keys``): 0 for the plain name, then 1, 2, ..., past those that ``existing`` (keys, number) holds.
+
+    With the numbers taken sorted as u0 < u1 < ..., the nth free number (from 0) is n plus
+    how many j have uj - j <= n, which is a running count over both relations.
+    """
+    by = W.partitionBy(*keys)
+    taken = existing.select(*keys, "number").distinct().withColumn("_at", F.col("number") - (F.row_number().over(by.orderBy("number")) - 1))
+    wanted = rows.withColumn("_at", (F.row_number().over(by.orderBy(*order)) - 1).cast("long")).withColumn("_wants", F.lit(True))
+    both = wanted.unionByName(taken.select(*keys, F.col("_at").cast("long")).withColumn("_wants", F.lit(False)), allowMissingColumns=True)
+    passed = F.sum((~F.col("_wants")).cast("long")).over(by.orderBy("_at", "_wants").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("number", F.col("_at") + passed).where("_wants").select(*rows.columns, "number")
+
+
 def number_collisions(rows: DataFrame, folder: str, name: str, order: list[str]) -> DataFrame:
     """Adds nth: the place of a row among those that want one name in one folder."""
     return rows.withColumn("nth", F.row_number().over(W.partitionBy(folder, name).orderBy(*order)))

@@ -121,3 +121,12 @@ def edge_density(rows: DataFrame, column: str, side: int) -> DataFrame:
             yield pd.Series(edge_densities(_images(x, side)))
 
     return rows.withColumn("edge_density", score(column)).drop(column)
+
+
+def phash(rows: DataFrame, column: str, side: int) -> DataFrame:
+    @F.pandas_udf(T.LongType())
+    def score(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in s:
+            yield pd.Series(hash_of_pixels(_images(x, side)))
+
+    return rows.withColumn("hash", score(column)).drop(column)

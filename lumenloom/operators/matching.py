@@ -62,6 +62,19 @@ def sidecar_matches(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     return sidecars.withColumn("media_name", filenames.sidecar_media_name(F.col("name"))).join(m, ["dir", "media_name"], "left")
 
 
+def sidecar_of(media: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Adds sidecar to ``media`` (dir, name): 'name.json' in its folder, else the least 'name.*.json'.
+
+    A sidecar's name is looked up under each of its beginnings before a dot, so the prefix
+    search is an equi join.
+    """
+    parts = F.split(F.regexp_replace("name", r"\.json$", ""), r"\.")
+    begin = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), ".").alias("media_name"), (k != F.size(parts)).alias("longer")))
+    keyed = sidecars.where(F.col("name").endswith(".json")).select("dir", "name", F.explode(begin).alias("b"))
+    best = keyed.groupBy("dir", F.col("b.media_name").alias("media_name")).agg(F.min(F.struct("b.longer", "name")).alias("best"))
+    return media.join(best.select("dir", F.col("media_name").alias("name"), F.col("best.name").alias("sidecar")), ["dir", "name"], "left")
+
+
 def orphans(sidecars: DataFrame, media: DataFrame) -> DataFrame:
     """status: local, recoverable (the media file is elsewhere: the path of least priority number, then least path) or orphan."""
     local = sidecar_matches(sidecars, media)

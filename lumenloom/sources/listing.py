@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.functions import filenames, media, paths
+from lumenloom.functions import dates, filenames, media, paths
 
 SIDECAR = "STRUCT<photoTakenTime: STRUCT<timestamp: STRING>, creationTime: STRUCT<timestamp: STRING>, geoData: STRUCT<latitude: DOUBLE, longitude: DOUBLE, altitude: DOUBLE>>"
-EXIF = "path STRING, DateTimeOriginal STRING, CreateDate STRING, MediaCreateDate STRING"
 PROBE = "path STRING, codec STRING, width INT, height INT, bitrate BIGINT, duration DOUBLE, file_size BIGINT"
 STREAMS = "path STRING, streams ARRAY<STRUCT<codec_type: STRING, codec_name: STRING, width: INT, height: INT, duration: DOUBLE>>"
 
@@ -46,14 +45,28 @@ def sidecars(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def exif(spark: SparkSession, path: str, before: Column | None = None) -> DataFrame:
-    """path and the first valid of the three EXIF dates after 1980 (and before ``before``, if given)."""
+def sidecar_dates(spark: SparkSession, root: str) -> DataFrame:
+    """The sidecars below ``root`` with date (the earlier of taken and created) and conflict (they are three or more months apart); the position is left out on conflict."""
+    rows = sidecars(spark, root)
+    conflict = ~dates.dates_match(F.col("taken"), F.col("created"))
+    place = [F.when(~F.col("conflict"), F.col(c)).alias(c) for c in ("latitude", "longitude", "altitude")]
+    return rows.withColumn("date", dates.merged_date(F.col("taken"), F.col("created"))).withColumn("conflict", conflict).select("path", "media_name", "date", "conflict", *place)
+
+
+#: Which tags a reader tries, in order: photos, camcorder files, single files of an import.
+PHOTO_TAGS, CAMCORDER_TAGS, IMPORT_TAGS = ("DateTimeOriginal", "CreateDate", "MediaCreateDate"), ("DateTimeOriginal", "CreateDate", "MediaCreateDate", "TrackCreateDate"), ("DateTimeOriginal", "CreateDate")
+
+
+def exif(spark: SparkSession, path: str, before: Column | None = None, tags: tuple[str, ...] = PHOTO_TAGS, only_after_1980: bool = True) -> DataFrame:
+    """path and the first valid date of ``tags`` in a metadata tool's JSON: after 1980 unless told otherwise, and before ``before``, if given. Files that the tool could not read have null."""
+
     def valid(c: str) -> Column:
-        t = F.try_to_timestamp(F.substring(c, 1, 19), F.lit("yyyy:MM:dd HH:mm:ss")).cast("timestamp_ntz")
-        return F.when((F.year(t) > 1980) & (F.lit(True) if before is None else t < before), t)
+        t = dates.tool_date(F.col(c))
+        t = dates.after_1980(t) if only_after_1980 else t
+        return t if before is None else F.when(t < before, t)
 
-    rows = spark.read.schema(EXIF).json(path)
-    return rows.select("path", F.coalesce(*(valid(c) for c in ("DateTimeOriginal", "CreateDate", "MediaCreateDate"))).alias("exif_ts"))
+    rows = spark.read.schema(", ".join(("path STRING", *(f"{t} STRING" for t in tags)))).json(path)
+    return rows.select("path", F.coalesce(*map(valid, tags)).alias("exif_ts"))
 
 
 def probes(spark: SparkSession, path: str) -> DataFrame:
@@ -63,3 +76,15 @@ def probes(spark: SparkSession, path: str) -> DataFrame:
 
 def streams(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STREAMS).json(path)
+
+
+def stream_summary(rows: DataFrame) -> DataFrame:
+    """path, codec, width, height, duration of the first video stream of ``rows`` (path, streams), video_streams, and has_audio."""
+    video = F.filter("streams", lambda s: s["codec_type"] == "video")
+    first = F.get(video, F.lit(0))
+    return rows.select("path", *(first[c].alias(n) for c, n in (("codec_name", "codec"), ("width", "width"), ("height", "height"), ("duration", "duration"))), F.size(video).alias("video_streams"), F.exists("streams", lambda s: s["codec_type"] == "audio").alias("has_audio"))
+
+
+def creation_times(spark: SparkSession, path: str) -> DataFrame:
+    """path and the container's creation time from probe JSON (path, creation_time)."""
+    return spark.read.schema("path STRING, creation_time STRING").json(path).select("path", dates.container_date(F.col("creation_time")).alias("created"))

@@ -306,3 +306,38 @@ def test_dates_of_tools_and_containers(spark):
     df = spark.createDataFrame(rows, "tool string, container string")
     got = [tuple(r) for r in df.select(dates.tool_date(F.col("tool")), dates.container_date(F.col("container")), dates.after_1980(dates.tool_date(F.col("tool")))).collect()]
     assert got == [(datetime(2019, 3, 14, 16, 54, 23), datetime(2024, 5, 4, 11, 39, 16), datetime(2019, 3, 14, 16, 54, 23)), (datetime(2019, 3, 14, 16, 54), datetime(2024, 5, 4, 11, 39, 16), datetime(2019, 3, 14, 16, 54)), (datetime(1975, 1, 1), None, None), (None, None, None), (None, None, None)]
+
+
+def test_readers_of_dates_and_streams(spark, tmp_path):
+    (tmp_path / "a.jpg.json").write_text('{"photoTakenTime": {"timestamp": "1700000000"}, "creationTime": {"timestamp": "1600000000"}, "geoData": {"latitude": 1.5, "longitude": 0, "altitude": 2}}')
+    (tmp_path / "b.jpg.json").write_text('{"photoTakenTime": {"timestamp": "1700000000"}, "geoData": {"latitude": 1.5, "longitude": 0, "altitude": 2}}')
+    got = {r["media_name"]: r for r in listing.sidecar_dates(spark, str(tmp_path)).collect()}
+    assert got["a.jpg"]["conflict"] and got["a.jpg"]["date"] == datetime(2020, 9, 13, 12, 26, 40) and got["a.jpg"]["latitude"] is None
+    assert not got["b.jpg"]["conflict"] and got["b.jpg"]["latitude"] == 1.5
+    f = tmp_path / "exif.txt"
+    f.write_text('{"path": "v", "TrackCreateDate": "2019:03:14 16:54"}\n{"path": "w", "CreateDate": "1970:01:01 00:00:00"}\n')
+    assert {r["path"]: r["exif_ts"] for r in listing.exif(spark, str(f), tags=listing.CAMCORDER_TAGS, only_after_1980=False).collect()} == {"v": datetime(2019, 3, 14, 16, 54), "w": datetime(1970, 1, 1)}
+    assert {r["exif_ts"] for r in listing.exif(spark, str(f), before=F.lit(START), tags=listing.IMPORT_TAGS).collect()} == {None}
+    f.write_text('{"path": "a", "streams": [{"codec_type": "audio"}, {"codec_type": "video", "codec_name": "hevc", "width": 10, "height": 5, "duration": 1.0}, {"codec_type": "video", "codec_name": "mjpeg"}]}\n{"path": "b", "streams": []}\n')
+    rows = {r["path"]: r for r in listing.stream_summary(listing.streams(spark, str(f))).collect()}
+    assert (rows["a"]["codec"], rows["a"]["video_streams"], rows["a"]["has_audio"]) == ("hevc", 2, True) and rows["b"]["codec"] is None and rows["b"]["video_streams"] == 0
+    f.write_text('{"path": "a", "creation_time": "2024-05-04T11:39:16.000000Z"}\n{"path": "b"}\n')
+    assert [r["created"] for r in listing.creation_times(spark, str(f)).orderBy("path").collect()] == [datetime(2024, 5, 4, 11, 39, 16), None]
+
+
+def test_names_past_those_that_exist(spark):
+    rng = random.Random(1)
+    rows, held = [(i, f"n{rng.randrange(4)}") for i in range(60)], [(f"n{rng.randrange(5)}", rng.randrange(12)) for _ in range(25)]
+    got = {r["id"]: r["number"] for r in duplicates.free_numbers(spark.createDataFrame(rows, "id long, stem string"), spark.createDataFrame(held, "stem string, number long"), ["stem"], ["id"]).collect()}
+    used, want = set(held), {}
+    for i, stem in rows:
+        n = next(k for k in itertools.count() if (stem, k) not in used)
+        used.add((stem, n))
+        want[i] = n
+    assert got == want
+
+
+def test_exact_sidecars_before_longer_ones(spark):
+    media = spark.createDataFrame([("d", "a.jpg"), ("d", "b.jpg"), ("d", "c.jpg"), ("e", "a.jpg")], "dir string, name string")
+    side = spark.createDataFrame([("d", "a.jpg.aa.json"), ("d", "a.jpg.json"), ("d", "b.jpg.supp.json"), ("d", "b.jpg.more.x.json"), ("d", "c.jpgx.json")], "dir string, name string")
+    assert [r["sidecar"] for r in matching.sidecar_of(media, side).orderBy("dir", "name").collect()] == ["a.jpg.json", "b.jpg.more.x.json", None, None]
