@@ -1,17 +1,21 @@
 """Exact dedup over a log-structured merge index of text digests.
 
-Memtables of (digest -> extreme doc_id, rows) are flushed as sorted Parquet runs that
-carry Bloom filters on the digest; compaction merges runs and keeps one identifier per
-digest (the smallest by default, the largest on request); every hit is then compared
-byte by byte with the text that stays, and digests that collide are regrouped by text.
+Memtables of (digest -> extreme doc_id, rows) are flushed as sorted runs. Compaction deals
+the runs by ranges of digests, merges them in order and keeps one identifier per digest
+(the smallest by default, the largest on request). The compacted run has a Bloom filter of
+the digests that several rows hold: texts are looked up there first, and only those that
+pass it reach the run itself. Every hit is then compared byte by byte with the text that
+stays, and digests that collide are regrouped by text.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,10 +23,15 @@ from pyspark.sql import functions as F
 from lumenloom.llm import base, worker
 
 RUN = "digest string, keep_id long, keep_rows long, group_size long"
-#: Groups of copies whose digests are sent to every task; with more groups, texts are shuffled by digest instead.
-BROADCAST_GROUPS = 500_000
+#: Bytes of groups of copies (a digest and three numbers each) that are sent to every task; with more, texts are shuffled by digest instead.
+BROADCAST_BYTES = 24 << 20
+GROUP_BYTES = 160
+#: Bytes of Bloom filters that are sent to every task; a larger filter is not consulted.
+FILTER_BYTES = 4 << 20
+#: Bits of a filter and places of a digest: one digest in a hundred that is not held passes.
+FILTER_BITS, FILTER_PLACES = 10, 7
 #: Rows of one group of copies that are compared in one place with a copy of the text that stays.
-COMPARED_TOGETHER = 256
+COMPARED_TOGETHER = 64
 
 
 def sha256_of(text: Column) -> Column:
@@ -73,42 +82,114 @@ class DigestIndex:
             return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c, pa.int64()) for c in columns)], names=["digest", "keep_id", "keep_rows", "group_size"])
 
         run = f"{self._path}/level0/{uuid.uuid4().hex}"
-        self._write(docs.select("doc_id", self.digest(F.col("text")).alias("digest")).mapInArrow(memtables, RUN), run)
+        docs.select("doc_id", self.digest(F.col("text")).alias("digest")).mapInArrow(memtables, RUN).write.parquet(run)
         self._flushed.append(run)
 
-    def _write(self, df: DataFrame, path: str) -> None:
-        df.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(self._rows)).parquet(path)
-
     def compact(self) -> DataFrame:
-        """Merge all runs into one sorted run: digest, keep_id, keep_rows (rows with that id), group_size."""
+        """Merge all runs into one sorted run: digest, keep_id, keep_rows (rows with that id), group_size.
+
+        A digest has one row per memtable, and the merge holds one row at a time, so hot
+        groups are small and a task's memory does not depend on the runs.
+        """
         runs = self._flushed + ([self._base] if self._base else [])
         held = self._spark.read.schema(RUN).parquet(*runs) if runs else self._spark.createDataFrame([], RUN)
-        # Runs hold one row per digest and memtable, and the sum combines before the shuffle: hot groups stay small.
-        order = F.col("keep_id") if self._keep == "smallest" else -F.col("keep_id")
-        order = F.coalesce(order, F.lit(2**63 - 1))
-        merged = (
-            held.select("digest", "group_size", F.struct(order.alias("order"), "keep_id").alias("own"), "keep_rows")
-            .groupBy("digest", "own")
-            .agg(F.sum("keep_rows").alias("keep_rows"), F.sum("group_size").alias("group_size"))
-            .groupBy("digest")
-            .agg(F.min(F.struct("own", "keep_rows")).alias("best"), F.sum("group_size").alias("group_size"))
-            .select("digest", F.col("best.own.keep_id").alias("keep_id"), F.col("best.keep_rows").alias("keep_rows"), "group_size")
-        )
+        order = F.col("keep_id").asc_nulls_last() if self._keep == "smallest" else F.col("keep_id").desc_nulls_last()
+        names = ["digest", "keep_id", "keep_rows", "group_size"]
+
+        def merge(batches):
+            worker.enter("digests")
+            last, out = None, []
+            for batch in batches:
+                for digest, keep_id, keep_rows, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if last is not None and last[0] == digest:
+                        last[3] += n
+                        if last[1] == keep_id:
+                            last[2] += keep_rows
+                        continue
+                    if last is not None:
+                        out.append(last)
+                    last = [digest, keep_id, keep_rows, n]
+                    if len(out) >= 65_536:
+                        yield as_batch(out)
+                        out = []
+            if last is not None:
+                yield as_batch([*out, last])
+
+        def as_batch(rows):
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)
+
         run = f"{self._path}/level1/{uuid.uuid4().hex}"
-        self._write(merged.sortWithinPartitions("digest"), run)
+        dealt = held.select(*names).repartition(base.partitions(self._spark), "digest").sortWithinPartitions("digest", order)
+        dealt.mapInArrow(merge, RUN).write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(self._rows)).parquet(run)
         self._flushed, self._base = [], run
+        self._copied, self._bits = self.table().where("group_size > 1"), None
+        self.copied = self._copied.count()
         return self.table()
 
     def table(self) -> DataFrame:
         return self._spark.read.schema(RUN).parquet(self._base)
 
+    def _filter_size(self) -> int:
+        return 64 * (1 + FILTER_BITS * self.copied // 64)
+
+    def copied_bits(self) -> np.ndarray | None:
+        """The Bloom filter of the digests with several rows, built in tasks and joined by OR; None where it would be larger than FILTER_BYTES."""
+        size = self._filter_size()
+        if size > 8 * FILTER_BYTES:
+            return None
+        if self._bits is None:
+            def build(batches):
+                worker.enter("digests")
+                bits = np.zeros(size, dtype=bool)
+                for batch in batches:
+                    for places in filter_places(batch.column(0).to_pylist(), size):
+                        bits[places] = True
+                words = np.packbits(bits).view(np.int64)
+                held = np.flatnonzero(words)
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(words[held], pa.int64())], names=["word", "bits"])
+
+            self._bits = np.zeros(size // 64, dtype=np.int64)
+            for r in self._copied.select("digest").mapInArrow(build, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+                self._bits[r["word"]] = r["bits"]
+        return self._bits
+
+    def maybe_copied(self, docs: DataFrame) -> DataFrame:
+        """Adds _digest to the rows of ``docs`` whose digest passes the filter: all rows with copies, and one in a hundred of the others."""
+        keyed = docs.withColumn("_digest", self.digest(F.col("text")))
+        words, size, at = self.copied_bits(), self._filter_size(), len(docs.columns)
+        if words is None:
+            return keyed
+
+        def probe(batches):
+            worker.enter("digests")
+            bits = np.unpackbits(words.view(np.uint8))
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for places in filter_places(batch.column(at).to_pylist(), size):
+                    keep &= bits[places].astype(bool)
+                yield batch.filter(pa.array(keep))
+
+        return keyed.mapInArrow(probe, keyed.schema)
+
+
+def filter_places(digests: list[str], size: int) -> Iterator[np.ndarray]:
+    """The places of each digest in a filter of ``size`` bits, one hash function after the other."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in digests), dtype=np.uint64, count=len(digests))
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    for k in range(FILTER_PLACES):
+        yield ((h + np.uint64(k) * step) % np.uint64(size)).astype(np.int64)
+
+
+def _groups(index: DigestIndex) -> DataFrame:
+    """The groups of two or more rows, by _digest, to be joined; sent to every task while they are few."""
+    groups = index.table().where("group_size > 1").select(*(F.col(c).alias(f"_{c}") for c in ("digest", "keep_id", "keep_rows", "group_size")))
+    return F.broadcast(groups) if index.copied * GROUP_BYTES <= BROADCAST_BYTES else groups
+
 
 def _hits(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """Rows of ``docs`` in groups of two or more, with the row of their group; texts stay where they are read if groups are few."""
-    groups = index.table().where("group_size > 1").withColumnRenamed("digest", "_digest").withColumnRenamed("keep_id", "_keep_id").withColumnRenamed("keep_rows", "_keep_rows").withColumnRenamed("group_size", "_group_size")
-    if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    return docs.withColumn("_digest", index.digest(F.col("text"))).join(groups, "_digest")
+    """Rows of ``docs`` in groups of two or more, with the row of their group: those that pass the filter, joined to the run."""
+    return index.maybe_copied(docs).join(_groups(index), "_digest")
 
 
 def verify(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -120,16 +201,17 @@ def verify(docs: DataFrame, index: DigestIndex) -> DataFrame:
     part = F.ceil(F.col("_group_size") / COMPARED_TOGETHER).cast("int")
     keeper = F.col("doc_id").eqNullSafe(F.col("_keep_id"))
     dealt = _hits(docs.select("doc_id", "text"), index).select(
-        "_digest", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), keeper.alias("keeper"),
-        F.explode(F.when(keeper & (F.col("_keep_rows") == 1), F.sequence(F.lit(0), part - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), part).cast("int")))).alias("part"),
+        "_digest", "_keep_rows", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), keeper.alias("keeper"),
+        F.explode(F.when(keeper & (F.col("_keep_rows") == 1), F.sequence(F.lit(0), part - 1)).otherwise(F.array(F.pmod(F.xxhash64(F.monotonically_increasing_id()), part).cast("int")))).alias("part"),
     )
-    # Where several rows share the identifier that stays, each part compares with its own first row, and the first rows with each other.
-    first = F.first("bytes").over(W.partitionBy("_digest", "part").orderBy(F.col("keeper").desc()))
-    compared = dealt.withColumn("differs", F.col("bytes") != first)
-    shared = _hits(docs.select("doc_id", "text"), index).where("_keep_rows > 1")
-    collided = compared.where("differs").select("_digest")
-    several = shared.groupBy("_digest").agg(F.min(F.md5(F.coalesce("text", F.lit("")))).alias("lo"), F.max(F.md5(F.coalesce("text", F.lit("")))).alias("hi")).where("lo <> hi").select("_digest")
-    return collided.union(several).distinct()
+    # Where several rows share the identifier that stays, no single text is in all parts: each part compares with its own first row.
+    w = W.partitionBy("_digest", "part").orderBy(F.col("keeper").desc())
+    compared = dealt.withColumn("differs", F.col("bytes") != F.first("bytes").over(w)).withColumn("_nth", F.row_number().over(w))
+    first_of_part = (F.col("_nth") == 1) & (F.col("_keep_rows") > 1)
+    compared = base.materialize(compared.select("_digest", "part", "differs", F.when(first_of_part, F.col("bytes")).alias("bytes")).where("differs or bytes is not null"), "compared")
+    # Each part has compared with its own first row; here the first rows of the parts meet, a few hundredths of the group.
+    across = compared.where("bytes is not null").groupBy("_digest").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo <> hi").select("_digest")
+    return compared.where("differs").select("_digest").union(across).distinct()
 
 
 def groups_of_copies(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], Column] = sha256_of, memtable_rows: int = 65_536) -> DataFrame:
@@ -179,10 +261,7 @@ def deduplicate(docs: DataFrame, keep: str = "smallest") -> DataFrame:
         order = F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
         turn = F.row_number().over(W.partitionBy(F.coalesce("text", F.lit(""))).orderBy(order))
         return docs.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
-    groups = index.table().where("group_size > 1").select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"), F.col("keep_rows").alias("_keep_rows"))
-    if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    joined = docs.withColumn("_digest", index.digest(F.col("text"))).join(groups, "_digest", "left")
+    joined = docs.withColumn("_digest", index.digest(F.col("text"))).join(_groups(index), "_digest", "left")
     stays = F.col("_keep_rows").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep_id"))
     kept = joined.where(stays)
     if index.table().where("keep_rows > 1").take(1):
