@@ -42,7 +42,7 @@ ORACLES = {
     "phash_bits": "WITH " + fx.HASHES + " SELECT id, printf('%016x', hash) AS hash FROM hashes",
     "phash_pairs": _PAIRS + " SELECT a, b, distance FROM pairs",
     "phash_components": _PAIRS + ", sym AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (WITH RECURSIVE r(id, root) AS (SELECT id, id FROM hashes UNION SELECT b, root FROM r JOIN sym ON r.id = sym.a) SELECT id, min(root) AS component FROM r GROUP BY id) SELECT id, component FROM reach",
-    "leftover_check": _A + ", s AS (SELECT strftime(ts, '%Y%m%d_%H%M%S') || '.mp4' AS name, size + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS size FROM captures WHERE event_id % 8 < 2 AND event_id % 5 < 3) SELECT CASE WHEN NOT EXISTS (FROM organized o WHERE o.name = s.name) THEN 'not_found' WHEN EXISTS (FROM organized o WHERE o.name = s.name AND o.size = s.size) THEN 'duplicate' ELSE 'same_name_different_size' END AS status, count(*) AS n, sum(size)::BIGINT AS bytes FROM s GROUP BY status",
+    "leftover_check": _A + ", s AS (SELECT base || '.mp4' AS name, size FROM archive) SELECT CASE WHEN NOT EXISTS (FROM organized o WHERE o.name = s.name) THEN 'not_found' WHEN EXISTS (FROM organized o WHERE o.name = s.name AND o.size = s.size) THEN 'duplicate' ELSE 'same_name_different_size' END AS status, count(*) AS n, sum(size)::BIGINT AS bytes FROM s GROUP BY status",
     "archive_missing": _A + " SELECT name, base AS date_pattern, size FROM archive WHERE base NOT IN (SELECT base FROM organized)",
     "duplicate_decisions": _DECIDED + " SELECT * FROM decisions",
     "run_counters": _DECIDED + " SELECT action, confidence, count(*) AS n FROM decisions GROUP BY ALL",
@@ -53,9 +53,7 @@ ORACLES = {
     "protected_pairs": "WITH " + _LISTING + " SELECT (dir, name) IN (SELECT (dir, name) FROM members) AS protected, count(*) AS n FROM listing GROUP BY protected",
     "orphan_sidecars": _ORPHANS + " SELECT event_id, media_path, recover_path, status FROM orphans",
     "recover_priority": _ORPHANS + " SELECT priority, count(*) AS n, min(recover_path) AS first_path FROM orphans WHERE status = 'recoverable' GROUP BY priority",
-    "fragmented_sidecars": "WITH " + fx.SIDECARS + f""", m AS (SELECT *, {_STEM} AS stem, {_EXT} AS ext FROM media WHERE path NOT LIKE '%\\_TO\\_REVIEW\\_%' ESCAPE '\\'), named AS (SELECT name AS media_name, 0 AS kind, path FROM m UNION ALL SELECT regexp_replace(stem, '-edited$', '') || ext, 1, path FROM m WHERE stem LIKE '%-edited')
-      SELECT event_id, substr(min(kind || path), 2) AS path, min(kind) = 1 AS edited_variant FROM sidecars s JOIN named n ON s.original = n.media_name WHERE event_id % 5 = 0 GROUP BY event_id""",
-    "fragmented_orphans": "WITH " + fx.SIDECARS + """, named AS (SELECT dir, path, name AS media_name, 0 AS kind FROM media UNION ALL SELECT dir, path, regexp_replace(name, '-edited(\\.[^.]+)$', '\\1'), 1 FROM media WHERE regexp_matches(name, '-edited\\.[^.]+$')),
+    "fragmented_sidecars": "WITH " + fx.SIDECARS + """, named AS (SELECT dir, path, name AS media_name, 0 AS kind FROM media UNION ALL SELECT dir, path, regexp_replace(name, '-edited(\\.[^.]+)$', '\\1'), 1 FROM media WHERE regexp_matches(name, '-edited\\.[^.]+$')),
       orphans AS (SELECT event_id, original FROM sidecars s WHERE NOT EXISTS (FROM named n WHERE n.dir = s.dir AND n.media_name = s.original))
       SELECT event_id, substr(min(kind || path), 2) AS path, min(kind) = 1 AS edited_variant FROM orphans o JOIN named n ON o.original = n.media_name WHERE path NOT LIKE '%\\_TO\\_REVIEW\\_%' ESCAPE '\\' GROUP BY event_id""",
     "cache_split": _F + " SELECT f.doc_id, CASE WHEN f.doc_id % 7 <> 0 THEN quality END AS quality, coalesce(quality IS NOT NULL AND f.doc_id % 7 <> 0, false) AS cached FROM files f LEFT JOIN labels USING (doc_id)",
@@ -63,7 +61,7 @@ ORACLES = {
       SELECT coalesce(o.path, n.path) AS path, coalesce(n.mtime, o.mtime) AS mtime, coalesce(n.size, o.size) AS size, coalesce(n.blur, CASE WHEN n.path IS NULL OR n.mtime = o.mtime THEN o.blur END) AS blur, CASE WHEN n.path IS NULL OR n.mtime = o.mtime THEN o.md5 END AS md5 FROM o FULL JOIN n ON o.path = n.path""",
     "file_index": "WITH " + _INDEX + " SELECT base, ext, is_edited, count(*) AS n, min(path) AS first_path FROM idx GROUP BY base, ext, is_edited HAVING count(*) > 1",
     "index_lookup": "WITH " + _INDEX + ", held AS (SELECT base, ext, is_edited, min(path) AS path FROM idx WHERE event_id % 3 <> 0 GROUP BY ALL), w AS (SELECT event_id, base, ext, event_id % 2 = 0 AS is_edited FROM idx WHERE event_id % 8 < 3) SELECT event_id, coalesce(s.path, o.path) AS found_path FROM w LEFT JOIN held s USING (base, ext, is_edited) LEFT JOIN held o ON w.base = o.base AND w.ext = o.ext AND w.is_edited = NOT o.is_edited",
-    "insert_dedup": "WITH " + _INDEX + " SELECT event_id, base, ext, is_edited FROM idx i WHERE event_id % 3 = 0 AND NOT EXISTS (FROM idx j WHERE j.event_id % 3 = 1 AND j.base = i.base AND j.ext = i.ext AND j.is_edited = i.is_edited) QUALIFY row_number() OVER (PARTITION BY base, ext, is_edited ORDER BY event_id) = 1",
+    "insert_dedup": "WITH " + _INDEX + " SELECT event_id, base, ext, is_edited FROM idx i WHERE event_id % 3 <> 1 AND NOT EXISTS (FROM idx j WHERE j.event_id % 3 = 1 AND j.base = i.base AND j.ext = i.ext AND j.is_edited = i.is_edited) QUALIFY row_number() OVER (PARTITION BY base, ext, is_edited ORDER BY event_id) = 1",
     "collision_names": "WITH " + fx.CAPTURES + ", c AS (SELECT *, row_number() OVER (PARTITION BY strftime(ts, '%Y/%m'), name ORDER BY event_id) AS nth FROM captures) SELECT event_id, nth::INTEGER AS nth, " + _STEM + " || CASE WHEN nth > 1 THEN '_' || (nth - 1) ELSE '' END || regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS target FROM c",
     "project_folder_month": "WITH " + fx.CAPTURES + ", n AS (SELECT dir, strftime(ts, '%Y-%m-%d') AS month, count(*) AS n, min(event_id) AS seen FROM captures GROUP BY ALL) SELECT dir, month, n FROM n QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, seen) = 1",
     "folder_media_majority": "WITH " + fx.CAPTURES + ", k AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'video' WHEN event_id % 7 = 0 THEN 'other' ELSE 'photo' END AS kind FROM captures) SELECT dir, count_if(kind = 'video')::BIGINT AS videos, count_if(kind = 'photo')::BIGINT AS photos, min(ts) AS first_ts, bool_or(kind <> 'other') AS has_media, CASE WHEN count_if(kind = 'video') >= count_if(kind = 'photo') THEN 'Organized_Videos' ELSE 'Organized_Photos' END AS root FROM k GROUP BY dir",

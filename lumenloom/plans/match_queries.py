@@ -34,7 +34,8 @@ def phash_components(spark, sf_dir):
 
 
 def leftover_check(spark, sf_dir):
-    source = fx.captures(spark, sf_dir).where("event_id % 8 < 2 and event_id % 5 < 3").select(F.concat(F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit(".mp4")).alias("name"), (F.col("size") + F.when(F.col("event_id") % 4 == 0, 1).otherwise(0)).alias("size"))
+    """The archive against the organized videos, by the name that a file would have there."""
+    source = fx.archive(spark, sf_dir).select(F.concat("date_pattern", F.lit(".mp4")).alias("name"), "size")
     return matching.leftovers(source, fx.organized(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
@@ -93,17 +94,7 @@ def recover_priority(spark, sf_dir):
 
 
 def fragmented_sidecars(spark, sf_dir):
-    """Orphan sidecars of project folders whose media file, or its -edited variant, lies in a month folder."""
-    rows = fx.media(spark, sf_dir).withColumn("folder", F.element_at(F.split("path", "/"), -3)).where(paths.is_month_folder(F.col("folder")))
-    side = fx.sidecars(spark, sf_dir).where("event_id % 5 = 0").select("event_id", filenames.sidecar_media_name(F.col("name")).alias("media_name"))
-    s = filenames.stem(F.col("name"))
-    named = rows.select(F.explode(F.array(F.struct(F.col("name").alias("media_name"), F.lit(0).alias("kind")), F.struct(F.concat(F.regexp_replace(s, "-edited$", ""), filenames.extension(F.col("name"))).alias("media_name"), F.when(F.endswith(s, F.lit("-edited")), 1).alias("kind")))).alias("k"), "path").select("k.media_name", "k.kind", "path").where("kind is not null")
-    best = named.groupBy("media_name").agg(F.min(F.struct("kind", "path")).alias("b"))
-    return side.join(best, "media_name").select("event_id", "b.path", (F.col("b.kind") == 1).alias("edited_variant"))
-
-
-def fragmented_orphans(spark, sf_dir):
-    """The whole job of which fragmented_sidecars reads a fifth: all sidecars, anti-joined with the media of their own folder."""
+    """Orphan sidecars whose media file, or its -edited variant, lies in a month folder."""
     return matching.fragmented(fx.sidecars(spark, sf_dir), fx.media(spark, sf_dir))
 
 
@@ -136,8 +127,9 @@ def index_lookup(spark, sf_dir):
 
 
 def insert_dedup(spark, sf_dir):
+    """A third of the index is there already, all other rows come in."""
     rows = _index(spark, sf_dir)
-    return duplicates.insert_new(rows.where("event_id % 3 = 0"), rows.where("event_id % 3 = 1"), ["base", "ext", "is_edited"], ["event_id"]).select("event_id", "base", "ext", "is_edited")
+    return duplicates.insert_new(rows.where("event_id % 3 <> 1"), rows.where("event_id % 3 = 1"), ["base", "ext", "is_edited"], ["event_id"]).select("event_id", "base", "ext", "is_edited")
 
 
 def collision_names(spark, sf_dir):
@@ -261,6 +253,6 @@ def blur_kernel(spark, sf_dir):
     return kernels.blur(fx.table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 64).cast("array<double>").alias("a")), "a", 8)
 
 
-QUERIES = {f.__name__: f for f in (exact_duplicates, duplicate_waste, keep_newest, phash_bits, phash_pairs, phash_components, leftover_check, archive_missing, duplicate_decisions, quality_arbitration, size_band_matches, edited_pairs, protected_pairs, orphan_sidecars, recover_priority, fragmented_sidecars, fragmented_orphans, cache_split, cache_upsert, file_index, index_lookup, insert_dedup, collision_names, project_folder_month, folder_media_majority, run_counters, import_routing, camcorder_routing, triage_plan, review_assembly, undo_plan, metadata_merge, photo_directories, highres_photos, ssim_kernel, blur_kernel)}
+QUERIES = {f.__name__: f for f in (exact_duplicates, duplicate_waste, keep_newest, phash_bits, phash_pairs, phash_components, leftover_check, archive_missing, duplicate_decisions, quality_arbitration, size_band_matches, edited_pairs, protected_pairs, orphan_sidecars, recover_priority, fragmented_sidecars, cache_split, cache_upsert, file_index, index_lookup, insert_dedup, collision_names, project_folder_month, folder_media_majority, run_counters, import_routing, camcorder_routing, triage_plan, review_assembly, undo_plan, metadata_merge, photo_directories, highres_photos, ssim_kernel, blur_kernel)}
 
 from lumenloom.plans.match_oracles import ORACLES  # noqa: E402, F401
