@@ -14,7 +14,12 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id and ids of each text. Null and empty texts give an empty list; no shuffle, one row at a time."""
+    """doc_id and ids of each text of ``docs`` (doc_id, text).
+
+    Null and empty texts give an empty list; texts of any length are encoded whole; rows
+    are independent, so repeated rows give repeated results; an empty table gives no rows;
+    other columns are ignored. No shuffle.
+    """
     base.ship(docs.sparkSession)
 
     def run(batches):
@@ -32,7 +37,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id and the raw bytes of each list of ids; null ids give no bytes."""
+    """doc_id and the raw bytes of each list of ids of ``encoded`` (doc_id, ids).
+
+    Null and empty lists give no bytes; the bytes need not be whole characters; rows are
+    independent; an empty table gives no rows; other columns are ignored.
+    """
     base.ship(encoded.sparkSession)
 
     def run(batches):
@@ -48,7 +57,11 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """Encode and decode each text in one pass; only digests leave the worker."""
+    """Encode and decode each text of ``docs`` (doc_id, text) in one pass; only digests leave the worker.
+
+    Null counts as empty: no ids, the digests of nothing. Repeated rows give repeated
+    results; an empty table gives no rows; other columns are ignored.
+    """
     base.ship(docs.sparkSession)
 
     def run(batches):

@@ -6,12 +6,14 @@ character). Two texts a few edits apart fall into step again, so their written s
 differ in few places: edit distance has become Hamming distance. The fingerprint
 samples the written string at shared positions, consistent over lengths: slot s of a
 walk of T steps looks at the last record below T of a fixed random sequence (jump
-hashing), so walks of nearly equal length look at nearly the same places.
+hashing), so walks of nearly equal length look at nearly the same places. Near copies
+meet in bands of sampled bits and are verified on their texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import base, graph, ngram_join, worker
+from lumenloom.llm import base, ngram_join, worker
 
 SLOTS = 128
+#: A band looks at some slots, and at some bits of each.
+SAMPLED_SLOTS, SAMPLED_BITS = 3, 6
+#: Likeness from which a pair is verified before less alike ones.
+PROBABLE = 0.5
 _PERIOD = 1 << 16
 _HALT = 0
 _tables: dict[int, tuple] = {}
@@ -90,7 +96,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame, seed: int = 20) -> DataFrame:
-    """doc_id and fingerprint (hex) of every text; null counts as empty, equal texts have equal fingerprints."""
+    """doc_id and fingerprint (hex) of every text of ``docs`` (doc_id, text).
+
+    Null counts as empty, and empty texts have a fingerprint of zeros; equal texts, and so
+    repeated rows, have equal fingerprints; an empty table gives no rows; other columns
+    are ignored.
+    """
     base.ship(docs.sparkSession)
 
     def run(batches):
@@ -102,67 +113,84 @@ def fingerprint_table(docs: DataFrame, seed: int = 20) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.75, bands: int = 32, seed: int = 20) -> DataFrame:
-    """doc_id, component_id: near copies by fingerprint, banded and verified.
+def sampled_bits(bands: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """For each band the slots and, in each slot, the bits that it samples, all drawn at random."""
+    rng = np.random.Generator(np.random.PCG64(seed + 1))
+    slots = np.stack([rng.choice(SLOTS, SAMPLED_SLOTS, replace=False) for _ in range(bands)])
+    bits = np.stack([[sum(1 << int(k) for k in rng.choice(8, SAMPLED_BITS, replace=False)) for _ in range(SAMPLED_SLOTS)] for _ in range(bands)])
+    return slots, bits.astype(np.uint8)
 
-    Slots are cut into ``bands``; rows that share a band's bytes and are alike in at least
-    ``threshold`` of all slots are linked. Rows without text link with nothing; every row
-    is returned.
-    """
-    prints = base.materialize(fingerprint_table(docs.where("doc_id is not null and text <> ''"), seed), "prints")
-    found = linked_prints(prints, threshold, bands)
-    return docs.select("doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
+def band_keys(prints: np.ndarray, slots: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """(texts, bands) keys of fingerprints: their sampled bits and the band."""
+    own = (prints[:, slots] & bits).astype(np.uint64)
+    key = np.arange(1, len(slots) + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(slots.shape[1]):
+        key = (key ^ own[:, :, k]) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
-def linked_prints(prints: DataFrame, threshold: float, bands: int) -> DataFrame:
-    """(id, component_id) of the rows of ``prints`` (doc_id, fingerprint) that link.
 
-    First every row is compared with the least doc_id of each of its buckets, one
-    comparison per row. Buckets whose members are then still in unlike components are
-    dealt to chunks so that any two of unlike component meet, and compared pair by pair.
-    """
-    width = 2 * SLOTS // bands
-    keys = prints.select("doc_id", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.substring("fingerprint", b * width + 1, width).alias("key")) for b in range(bands)))).alias("x")).select("doc_id", "x.band", "x.key")
-    heads = keys.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = keys.join(heads, ["band", "key"]).where("doc_id <> head").select("doc_id", "head").distinct()
-    both = pairs.join(prints, "doc_id").join(prints.select(F.col("doc_id").alias("head"), F.col("fingerprint").alias("other")), "head")
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, k: n + (F.substring("fingerprint", 2 * k + 1, F.lit(2)) == F.substring("other", 2 * k + 1, F.lit(2))).cast("int"))
-    linked = base.materialize(both.where(same >= threshold * SLOTS).select(F.col("doc_id").alias("a"), F.col("head").alias("b")), "links")
-    found = base.materialize(graph.components(linked), "components")
-
-    member = keys.withColumnRenamed("doc_id", "id").join(found, "id", "left").select("id", F.struct("band", "key").alias("bucket"), F.coalesce("component_id", "id").alias("label")).distinct()
-    parts = member.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    mixed = base.materialize(parts.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("total")).where("labels > 1").select("bucket", F.col("most.label").alias("major"), F.col("most.m").alias("many"), "total"), "mixed")
-    if mixed.take(1):
-        dealt = ngram_join.residual(member.join(mixed, "bucket")).join(prints.withColumnRenamed("doc_id", "id"), "id")
-        more = base.materialize(_compared(dealt, threshold), "links")
-        if more.take(1):
-            found = graph.components(linked.union(more))
-    return found
-
-
-def _compared(dealt: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that span what the pairs of unlike label of each chunk of ``dealt`` (bucket, chunk, id, label, fingerprint) link."""
-    base.ship(dealt.sparkSession)
+def _signed(docs: DataFrame, bands: int, seed: int) -> DataFrame:
+    """doc_id, set_id (a digest of the text), fingerprint and keys of each row of ``docs``."""
+    base.ship(docs.sparkSession)
+    slots, bits = sampled_bits(bands, seed)
 
     def run(batches):
         worker.enter("fingerprint")
-        for rows in ngram_join.groups(batches, 2):
-            ids, label = rows.column("id").to_numpy(), rows.column("label").to_numpy()
-            prints = np.frombuffer(bytes.fromhex("".join(rows.column("fingerprint").to_pylist())), dtype=np.uint8).reshape(len(ids), SLOTS)
-            # Components grow together as links are found, so each link joins two.
-            label, links = label.copy(), []
-            for i in range(len(ids) - 1):
-                alike = (prints[i] == prints[i + 1 :]).sum(axis=1) >= threshold * SLOTS
-                for j in (np.flatnonzero(alike & (label[i + 1 :] != label[i])) + i + 1).tolist():
-                    if label[j] != label[i]:
-                        links.append((ids[j], ids[i]))
-                        label[label == label[j]] = label[i]
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
-
-    placed = dealt.select(F.xxhash64("bucket").alias("bucket"), "chunk", "id", "label", "fingerprint").repartition(base.partitions(dealt.sparkSession), "bucket", "chunk").sortWithinPartitions("bucket", "chunk")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            prints = fingerprints(texts, seed)
+            named = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(named, pa.binary()), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array(list(band_keys(prints, slots, bits)), pa.list_(pa.int64()))],
+                names=["doc_id", "set_id", "fingerprint", "keys"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, set_id binary, fingerprint binary, keys array<long>")
+
+
+def print_pairs(least: float) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of a chunk that are alike in at least ``least`` of their slots, and of unlike label."""
+
+    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        label = rows.column("label").to_numpy()
+        prints = np.frombuffer(b"".join(rows.column("fingerprint").to_pylist()), dtype=np.uint8).reshape(len(label), SLOTS)
+        out = []
+        for at in range(0, len(label), 64):
+            alike = likeness(prints[at : at + 64, None, :], prints[None, :, :])
+            i, j = np.nonzero((alike >= least) & (label[at : at + 64, None] != label[None, :]))
+            out.append((i + at, j, alike[i, j]))
+        i, j, alike = (np.concatenate(c) for c in zip(*out, strict=True))
+        return i[i < j], j[i < j], alike[i < j] / PROBABLE * 0.68  # spanning() takes 0.68 and more for probable
+
+    return pairs
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.3, bands: int = 64, seed: int = 20) -> DataFrame:
+    """doc_id, component_id of every row of ``docs`` (doc_id, text): near copies by fingerprint, verified on the texts.
+
+    Equal texts are one representative. Representatives that share a band's sampled bits
+    meet; pairs alike in at least ``least`` of all slots are compared by their texts, and
+    link when the Jaccard similarity of their 5-word shingle sets is at least 3/4 (see
+    ngram_join.linked). component_id is the least doc_id that links reach. Null and empty
+    texts link with nothing, a null doc_id is its own component (null), rows that share a
+    doc_id are one document; an empty table gives no rows; other columns are ignored.
+    What may be lost is a pair that shares no band or is less alike than ``least``.
+    """
+    has_text = F.col("doc_id").isNotNull() & (F.coalesce(F.col("text"), F.lit("")) != "")
+    texts = docs.where(has_text).select("doc_id", "text")
+    with base.small_batches(docs.sparkSession):
+        signed = base.materialize(_signed(texts, bands, seed), "prints")
+    sets = base.materialize(signed.groupBy("set_id").agg(F.min(F.struct("doc_id", "fingerprint", "keys")).alias("r")).select("set_id", F.col("r.doc_id").alias("id"), "r.fingerprint", "r.keys"), "sets")
+    found = ngram_join.linked_components(sets.drop("set_id"), print_pairs(least), lambda pairs: ngram_join.verified(texts, pairs), ngram_join._of_one_document(signed, sets))
+    of_set = sets.select("set_id", "id").join(found, "id", "left").select("set_id", F.coalesce("component_id", "id").alias("component_id"))
+    return signed.select("doc_id", "set_id").join(of_set, "set_id").select("doc_id", "component_id").union(docs.where(~has_text).select("doc_id", F.col("doc_id").alias("component_id")))
+
+
+def fingerprint_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among ``documents`` by their fingerprints."""
+    return near_duplicates(base.table(spark, sf_dir, "documents"))
 
 
 PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -13,7 +13,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,8 +125,13 @@ def groups(batches, key_columns: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _tree_join(dealt: DataFrame, forest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of ``dealt`` (bucket, chunk, id, size, bits, label), chunk by chunk."""
+def chunk_join(dealt: DataFrame, columns: list[str], pairs_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], forest: bool) -> DataFrame:
+    """Candidate pairs (a, b) of ``dealt`` (bucket, chunk, id, label, ``columns``), chunk by chunk.
+
+    ``pairs_of`` gives for the rows of a chunk the pairs of unlike label that may link, and
+    how alike they probably are. With ``forest`` only a spanning forest of the pairs that
+    are probably linked is kept, else all.
+    """
     spark = dealt.sparkSession
 
     def run(batches):
@@ -135,10 +140,8 @@ def _tree_join(dealt: DataFrame, forest: bool) -> DataFrame:
         for rows in groups(batches, 2):
             if rows.num_rows < 2:
                 continue
-            ids, label = rows.column("id").to_numpy(), rows.column("label").to_numpy()
-            bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
-            tree = SignatureTree(rows.column("size").to_numpy(), bits)
-            i, j, alike = tree.pairs(label)
+            ids = rows.column("id").to_numpy()
+            i, j, alike = pairs_of(rows)
             pairs = spanning(i, j, alike, len(ids)) if forest else zip(i.tolist(), j.tolist(), strict=True)
             found += [(min(ids[p], ids[q]), max(ids[p], ids[q])) for p, q in pairs if ids[p] != ids[q]]
             if len(found) > 50_000:
@@ -147,10 +150,16 @@ def _tree_join(dealt: DataFrame, forest: bool) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    placed = dealt.select("bucket", "chunk", "id", "size", "bits", "label").repartition(base.partitions(spark), "bucket", "chunk").sortWithinPartitions("bucket", "chunk")
+    placed = dealt.select("bucket", "chunk", "id", "label", *columns).repartition(base.partitions(spark), "bucket", "chunk").sortWithinPartitions("bucket", "chunk")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
+def tree_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a chunk that the dual traversal of its signature tree leaves over."""
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(rows.num_rows, -1)
+    return SignatureTree(rows.column("size").to_numpy(), bits).pairs(rows.column("label").to_numpy())
+
+
 def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
@@ -190,31 +199,54 @@ def join(docs: DataFrame) -> DataFrame:
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "keys", "bits")).alias("r"))
         .select("set_id", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("size"), "r.keys", "r.bits"), "sets",
     )
+    found = linked_components(sets.drop("set_id"), tree_pairs, lambda pairs: verified(docs, pairs), _of_one_document(signed.where("n_shingles > 0"), sets))
+    of_set = sets.select("set_id", "id").join(found, "id", "left").select("set_id", F.coalesce("component_id", "id").alias("component_id"))
+    result = signed.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def linked_components(sets: DataFrame, pairs_of: Callable, verify: Callable[[DataFrame], DataFrame], known: DataFrame) -> DataFrame:
+    """(id, component_id) of the rows of ``sets`` (id, keys and what ``pairs_of`` needs) that link, or that ``known`` links (a, b) join.
+
+    Rows that share a key meet in a bucket. A forest of probable links is verified first;
+    buckets that are then not one component get a second pass over all pairs of unlike
+    components.
+    """
+    columns = [c for c in sets.columns if c not in ("id", "keys")]
+    shape = sets.select("id", *columns)
     keyed = sets.select("id", F.explode("keys").alias("key"))
     mark = F.xxhash64("id")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 31))).alias("s")).where("n > 1 and lo < hi")
     distinct = base.materialize(buckets.groupBy("n", "lo", "hi", "x", "s").agg(F.min("key").alias("key")).select("key", "n", "lo"), "buckets")
     member = base.materialize(keyed.join(distinct, "key").select(F.col("key").alias("bucket"), "n", "lo", "id"), "members")
-    shape = sets.select("id", "size", "bits")
 
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     # The least member of a bucket is in each of its chunks, which ties their forests together.
     first = member.withColumn("chunk", F.explode(F.when(F.col("id") == F.col("lo"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "bucket"), chunks).cast("int")))))
-    probable = _tree_join(first.join(shape, "id").withColumn("label", F.col("id")), forest=True)
-    links = verified(docs, tried := base.materialize(probable, "probable"))
+    probable = chunk_join(first.join(shape, "id").withColumn("label", F.col("id")), columns, pairs_of, forest=True)
+    links = base.materialize(verify(tried := base.materialize(probable, "probable")).union(known), "links")
     found = base.materialize(graph.components(links), "components")
 
     labelled = member.join(found, "id", "left").withColumn("label", F.coalesce("component_id", "id")).drop("component_id")
     parts = base.materialize(labelled.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.max("n").alias("n")), "parts")
     mixed = base.materialize(parts.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("total")).where("labels > 1").select("bucket", F.col("most.label").alias("major"), F.col("most.m").alias("many"), "total"), "mixed")
     if mixed.take(1):
-        rest = _tree_join(residual(labelled.join(mixed, "bucket")).join(shape, "id"), forest=False).join(tried, ["a", "b"], "left_anti")
-        more = verified(docs, rest)
+        rest = chunk_join(residual(labelled.join(mixed, "bucket")).join(shape, "id"), columns, pairs_of, forest=False).join(tried, ["a", "b"], "left_anti")
+        more = verify(rest)
         if more.take(1):
             found = base.materialize(graph.components(links.union(more)), "components")
-    of_set = sets.select("set_id", "id").join(found, "id", "left").select("set_id", F.coalesce("component_id", "id").alias("component_id"))
-    result = signed.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
-    return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return found
+
+
+def _of_one_document(signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of the sets of each doc_id that several rows with unlike sets share."""
+    own = signed.where("doc_id is not null").select("doc_id", "set_id")
+    several = base.materialize(own.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    if not several.take(1):
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    ends = own.join(several, "doc_id").distinct().join(sets.select("set_id", "id"), "set_id").select("doc_id", "id")
+    least = ends.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return ends.join(least, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def residual(rows: DataFrame) -> DataFrame:

@@ -445,7 +445,7 @@ def _replacement(m: Column, full: Column, tried: Column, key: str) -> Column:
 
 
 def protect(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with every entity of ``text`` replaced, all other columns as they are, and n_entities.
+    """``docs`` with every entity of ``text`` replaced, all other columns as they are, and n_entities (in place of a column of that name).
 
     A null text stays null with 0 entities, an empty one empty; text outside entities is
     untouched to the character; repeated rows get equal results; an empty table gives no

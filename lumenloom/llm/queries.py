@@ -2,7 +2,7 @@
 
 from lumenloom.llm.bpe import op8_byte_bpe
 from lumenloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
-from lumenloom.llm.fingerprint import op9_fingerprints
+from lumenloom.llm.fingerprint import fingerprint_near_duplicates, op9_fingerprints
 from lumenloom.llm.language_id import op6_language_id
 from lumenloom.llm.ngram_join import OP2_SQL, op2_ngram_join
 from lumenloom.llm.packing import op3_packing
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_fingerprints": op9_fingerprints,
     "op10_pii": op10_pii,
+    "fingerprint_near_duplicates": fingerprint_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {

@@ -99,7 +99,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """Counts, digest and list of the spans of each text, made where the text is read."""
+    """Counts, digest and list of the spans of each text of ``docs`` (doc_id, text), made where the text is read.
+
+    Null counts as empty and has no spans; repeated rows give repeated results; an empty
+    table gives no rows; other columns, also such as ``spans``, are ignored.
+    """
     base.ship(docs.sparkSession)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 

@@ -211,8 +211,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 3000, voters
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 seen.update({f for w in set(_WORD.findall((text or "").lower())) for f in beginnings(w)})
-        keys = sorted(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["f", "n"])
+                if len(seen) > 100_000:  # bounded memory; the counts are summed up later
+                    yield counted(seen)
+                    seen = Counter()
+        yield counted(seen)
+
+    def counted(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["f", "n"])
 
     toxic_rows, clean_rows = sample.where("toxic = 1"), sample.where("toxic = 0")
     n1, n0 = toxic_rows.count(), clean_rows.count()

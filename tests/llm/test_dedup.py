@@ -40,6 +40,31 @@ def test_colliding_digests_are_told_apart(docs, texts):
     assert got == expected_groups(list(zip(ids(texts), texts, strict=True)), max)
 
 
+def test_only_what_passes_the_filter_reaches_the_run(spark, monkeypatch):
+    rows = [(i, f"text {i % 900 if i < 1000 else i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, exact_dedup.base.scratch(spark, "digests"), memtable_rows=300)
+    index.flush(df.where("doc_id < 2500"))
+    index.flush(df.where("doc_id >= 2500"))
+    table = index.compact()
+    assert table.count() == 3900 and index.copied == 100 and table.agg(F.sum("group_size")).first()[0] == 4000
+    passed = {r["doc_id"] for r in index.maybe_copied(df).collect()}
+    assert {i for i in range(1000) if i % 900 < 100} <= passed and len(passed) < 300
+    assert exact_dedup._hits(df, index).count() == 200
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", 0)
+    assert index.maybe_copied(df).count() == 4000 and exact_dedup._hits(df, index).count() == 200
+
+
+def test_a_large_group_of_one_id_is_compared_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COMPARED_TOGETHER", 8)
+    weak = lambda c: F.lit("d")
+    df = spark.createDataFrame([(5, "a")] * 60 + [(5, "b"), (None, "a")], "doc_id long, text string")
+    rows = exact_dedup.groups_of_copies(df, digest=weak).collect()
+    assert sorted((r["keep_id"], r["group_size"], r["kept"]) for r in rows if r["kept"]) == [(5, 1, True), (5, 61, True)] and len(rows) == 62
+    same = exact_dedup.groups_of_copies(df.where("text = 'a'"), digest=weak).collect()
+    assert sum(r["kept"] for r in same) == 1 and {r["group_size"] for r in same} == {61}
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark, docs, empty):
     assert exact_dedup.groups_of_copies(empty).count() == 0
     assert exact_dedup.deduplicate(empty).count() == 0
@@ -104,6 +129,9 @@ def test_ngram_edge_cases(spark, empty):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "z"), (2, "z"), (2, "z"), (7, None), (8, " ")], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"] or 0) for r in ngram_join.join(df).collect())
     assert got == [(0, 2, 0), (1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 1, 1), (7, 0, 7), (8, 0, 8)]
+    # One document of several rows has each of their sets, whoever else holds them.
+    df = spark.createDataFrame([(5, "a b c d e f"), (5, "z y x"), (3, "z y x"), (9, "a b c d e f"), (4, "other")], "doc_id long, text string").withColumn("keys", F.lit("clash")).withColumn("id", F.lit(1))
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.join(df).collect()} == {(5, 3), (3, 3), (9, 3), (4, 4)}
 
 
 def test_tree_bounds_never_lose_a_pair():
@@ -148,6 +176,9 @@ def test_fingerprints(spark, docs, texts, empty):
         assert r["near_next"] == fingerprint.likeness(prints[k], prints[(k + 1) % len(texts)])
     long = [r for r in rows.values() if 200 < r["n_chars"] < 20_000]
     assert np.mean([r["near_edited"] for r in long]) > 0.65 > 0.3 > np.mean([r["near_next"] for r in long])
+    table = fingerprint.fingerprint_table(docs.union(docs).withColumn("fingerprint", F.lit("clash"))).distinct().collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in table} == {i: r["fingerprint"] for i, r in rows.items()} and len(table) == len(rows)
+    assert fingerprint.fingerprint_table(empty).count() == 0
     assert fingerprint.paired_with_next(empty).count() == 0
     single = fingerprint.paired_with_next(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).first()
     assert single["near_next"] == 1.0 and single["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
@@ -155,34 +186,73 @@ def test_fingerprints(spark, docs, texts, empty):
 
 def test_fingerprint_banding(spark):
     rng = random.Random(6)
-    t = "".join(rng.choices("abcdefghij ", k=900))
-    rows = [(1, t), (2, t[:400] + "zz" + t[400:]), (3, t[::-1]), (4, None), (5, t)]
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(200)]
+    t = " ".join(words)
+    edited = " ".join([*words[:90], "zz", *words[91:]])
+    rows = [(1, t), (2, edited), (3, t[::-1]), (4, None), (5, t), (6, ""), (None, t), (7, edited), (7, "quite another text of its own"), (8, "quite another text of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keys", F.lit("clash"))
+    got = sorted(((r["doc_id"] or 0), r["component_id"] or 0) for r in fingerprint.near_duplicates(df).collect())
+    assert got == [(0, 0), (1, 1), (2, 1), (3, 3), (4, 4), (5, 1), (6, 6), (7, 1), (7, 1), (8, 1)]
+    assert fingerprint.near_duplicates(df.where("doc_id > 99")).count() == 0
+
+
+def test_fingerprint_recall_against_brute_force(spark):
+    """Near copies of every degree down to the threshold, and a hub with the largest id whose copies are less alike each other."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 7))) for _ in range(rng.randint(40, 400))]
+        for c in range(rng.randint(1, 4)):
+            own = list(words)
+            for _ in range(rng.randint(0, len(words) // 36) if c else 0):
+                own[rng.randrange(len(own))] = f"w{k}x{c}"
+            rows.append((len(rows), " ".join(own)))
+    hub = ["".join(rng.choices("etaoinshrdlu", k=5)) for _ in range(220)]
+    for c in range(120):
+        own = list(hub)
+        for _ in range(5):
+            own[rng.randrange(len(own))] = f"h{c}"
+        rows.append((len(rows), " ".join(own)))
+    rows.append((len(rows), " ".join(hub)))
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
     got = {r["doc_id"]: r["component_id"] for r in fingerprint.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
-
-
-def test_fingerprint_hub_and_spokes(spark):
-    """Copies of a hub that has the largest id: alike to it, not to each other, so heads miss most links."""
-    rng = np.random.default_rng(11)
-    hub = rng.integers(0, 256, fingerprint.SLOTS, dtype=np.uint8)
-    prints = np.tile(hub, (601, 1))
-    for row in prints[:600]:
-        at = rng.choice(fingerprint.SLOTS, 26, replace=False)
-        row[at] = rng.integers(0, 256, 26, dtype=np.uint8)
-    bands = prints.reshape(len(prints), 32, -1)
-    group = list(range(len(prints)))
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i in range(len(prints)):
-        near = (bands[i] == bands[i + 1 :]).all(axis=2).any(axis=1) & ((prints[i] == prints[i + 1 :]).sum(axis=1) >= 96)
-        for j in np.flatnonzero(near) + i + 1:
-            a, b = sorted((root(i), root(j)))
-            group[b] = a
-    want = {i: root(i) for i in range(len(prints))}
-    assert len(set(want.values())) == 1
-    df = spark.createDataFrame([(i, p.tobytes().hex()) for i, p in enumerate(prints)], "doc_id long, fingerprint string")
-    assert {r["id"]: r["component_id"] for r in fingerprint.linked_prints(df, 0.75, 32).collect()} == want
+    together = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if want[a] == want[b]]
+    assert np.mean([got[a] == got[b] for a, b in together]) >= 0.9
+    linked = [i for i in want if sum(c == want[i] for c in want.values()) > 1]
+    assert np.mean([got[i] == want[i] for i in linked]) >= 0.9
+    assert all(want[i] == want[got[i]] for i in want)
+
+
+def test_sampled_bits_and_keys():
+    slots, bits = fingerprint.sampled_bits(64)
+    assert slots.shape == bits.shape == (64, 3) and all(len(set(s)) == 3 for s in slots.tolist()) and {int(b).bit_count() for b in bits.ravel()} == {6}
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 256, (40, fingerprint.SLOTS), dtype=np.uint8)
+    prints[1] = prints[0]
+    prints[1, slots[5, 0]] ^= 255
+    keys = fingerprint.band_keys(prints, slots, bits)
+    for b in range(64):
+        same = all((prints[0, s] & m) == (prints[1, s] & m) for s, m in zip(slots[b], bits[b], strict=True))
+        assert (keys[0, b] == keys[1, b]) == same
+    assert len(np.unique(keys[2:])) == 38 * 64
+
+
+def walked(text, seed=20):
+    """The walk of one text, step by step, and what its slots see."""
+    moves, records = fingerprint._shared(seed)
+    symbols = fingerprint._symbols(text).tolist()
+    at, written = 0, []
+    while at < len(symbols):
+        written.append(symbols[at])
+        at += int(moves[(len(written) - 1) % len(moves), symbols[at]])
+    out = []
+    for s in range(fingerprint.SLOTS):
+        place = max(int(r) for r in records[s] if r < len(written))
+        after = written[place + 1] if place + 1 < len(written) else 0
+        out.append((written[place] * 30 + after) % 256)
+    return out
+
+
+def test_walks_against_a_plain_loop(texts):
+    own = [t for t in texts if t and len(t) < 3000][:30] + ["a", "ab", "日本"]
+    assert [p.tolist() for p in fingerprint.fingerprints(own)] == [walked(t) for t in own]

@@ -94,12 +94,37 @@ def test_language(spark, corpus, empty):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 ½ ²"), (4, "la maison " * 20_000)], "doc_id long, text string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(odd, model).collect()}
     assert [got[k] for k in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] == "fr"
+    twice = odd.union(odd).withColumn("lang_pred", F.lit("clash")).withColumn("lang", F.lit("xx"))
+    again = language_id.identify(twice, model).collect()
+    assert len(again) == 8 and len({tuple(r) for r in again}) == 4
     assert language_id.identify(empty, language_id.fit(empty)).count() == 0
     assert language_id.identify(odd, language_id.fit(empty)).where("lang_pred <> 'und'").count() == 0
     one = language_id.fit(corpus.where("lang = 'de'"))
     assert language_id.identify(odd, one).where("doc_id = 4").first()["lang_pred"] == "de"
 
 
+def test_decoding_against_a_plain_loop(corpus):
+    model = language_id.fit(corpus)
+    texts = [r["text"] for r in corpus.limit(25).collect()] + ["la haus the", "é"]
+    lang, score, unsure = model.predict(texts)
+    for t, got, own, doubt in zip(texts, lang, score, unsure, strict=True):
+        x = np.zeros(language_id.FEATURES)
+        code = [32, *(ord(c) for c in t.lower()), 32]
+        for n in range(3):
+            for at in range(len(code) - n):
+                gram = 0
+                for k in range(n + 1):
+                    gram = ((gram * 0x01000193 if k else gram) ^ (code[at + k] * 0x9E3779B1 & 0xFFFFFFFF)) & 0xFFFFFFFF
+                x[((gram ^ gram >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 20] += 1
+        x = np.sqrt(x / x.sum())
+        losses = []
+        for word in model.code:
+            losses.append(sum(w * np.log1p(np.exp(-b * (x @ model.weights[:, k] + model.bias[k]))) for k, (b, w) in enumerate(zip(word.tolist(), model.trust, strict=True))))
+        p = np.exp(-np.array(losses) * model.sharpness)
+        p /= p.sum()
+        assert got == model.languages[int(p.argmax())] and abs(own - p.max()) < 1e-4 and doubt == (own < 0.6)
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 9, 20):
         code = language_id.codewords(n).astype(int)
@@ -319,4 +344,23 @@ def test_pipeline(spark, tmp_path):
     assert not seen["PII"].where("text like '%ann@corp.net%'").count() and left["PII"] == left["n-gram Jaccard join"] == left["packing"]
     total = seen["packing"].agg(F.sum("length")).first()[0]
     assert seen["packing"].select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0] == total
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows, nulls in every column, and columns whose names the operators use themselves."""
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, keys string, _digest2 string, label string, n_entities long"
+    row = (7, "one two three four five six seven, ann@corp.net", "en", "s", 1, "k", "d", "l", 3)
+    for name, rows, left in (("empty", [], 0), ("odd", [row, row, (None,) * 9, (8, "", None, None, None, None, None, None, None), (9, None, "x", "y", 0, "", "", "", 0)], 3)):
+        df = spark.createDataFrame(rows, schema)
+        for k, (stage, work) in enumerate(corpus_pipeline.STAGES):
+            columns = df.columns
+            out = work(spark, df, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{name}{k}")
+            df = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            if stage != "packing":
+                assert df.columns == columns
+        assert df.select("doc_id").distinct().count() == (left if left == 0 else 2)

@@ -6,6 +6,7 @@ import io
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -164,6 +165,21 @@ def test_runs_of_five_megabytes(unit):
     assert len(own.encode(pa.array([text]))[0]) > 1
 
 
+def test_odd_tables(spark, docs, empty):
+    assert bpe.round_trip_digests(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert bpe.decode(bpe.encode(empty, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).count() == 0
+    twice = docs.union(docs).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit(-1))
+    rows = [tuple(r) for r in bpe.round_trip_digests(twice, RANKS, public_tokenizers.PATTERN).collect()]
+    assert len(rows) == 2 * len(set(rows)) == 2 * docs.count()
+    manifest = token_output.write_tokens(twice.withColumn("start", F.lit(1)).withColumn("part", F.lit(2)), base.scratch(spark, "t"), PATH)
+    read = token_output.read_tokens(spark, manifest).collect()
+    assert len(read) == 2 * docs.count() and len({(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in read}) == docs.count()
+    stray = manifest.first()["file"].rsplit("/", 1)[0].removeprefix("file://")
+    (Path(stray) / "part-000000-left.tok").write_bytes(b"x")
+    token_output._drop_strays(f"file://{stray}", {r["file"].rsplit("/", 1)[1] for r in manifest.collect()})
+    assert len(list(Path(stray).glob("*.tok"))) == manifest.count()
+
+
 def test_other_columns_do_not_matter(spark, docs):
     other = docs.withColumn("start", F.lit("x")).withColumn("length", F.lit(1)).withColumn("group", F.lit(2))
     assert packing.pack(other, PATH).count() == packing.pack(docs, PATH).count()
