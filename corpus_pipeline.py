@@ -52,7 +52,8 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts stay null and empty ones empty; repeated rows stay equal; an empty table
     gives none; further columns are kept.
     """
-    done = pii.protect(docs, pii.session_key(spark)).drop("n_entities")
+    own = docs.withColumnRenamed("n_entities", "_n_entities")
+    done = pii.protect(own, pii.session_key(spark)).drop("n_entities").withColumnRenamed("_n_entities", "n_entities")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length("text").cast("long"))
     return done.select(*docs.columns)
