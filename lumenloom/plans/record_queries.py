@@ -9,7 +9,7 @@ from lumenloom.operators import duplicates, kernels, matching, routing
 from lumenloom.plans import fixtures as fx
 from lumenloom.plans.match_oracles import _DECIDED, _LISTING
 from lumenloom.plans.match_queries import _listing, edited_pairs
-from lumenloom.plans.name_queries import _EXT, _RATE, _STEM
+from lumenloom.plans.name_queries import _RATE, _STEM
 from lumenloom.plans.pipeline_queries import _DATED, _dated, _n
 
 FOLDERS = ("Photos from 2024", "Trash", "Rome trip", "Untitled(2)", "Ann, Bob", "07 July")
