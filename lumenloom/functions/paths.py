@@ -44,9 +44,10 @@ def in_reviewed(path: Column) -> Column:
 def inferred_year(path: Column) -> Column:
     """'Photos from YYYY', else the first folder whose first standalone 4-digit number is a year from 1990 to 2100."""
     named = F.regexp_extract(path, r"(?i)Photos from (\d{4})", 1).try_cast("int")
-    folders = F.filter(F.split(path, "/"), lambda _, i: i < F.size(F.split(path, "/")) - 1)
-    years = F.filter(F.transform(folders, lambda p: F.regexp_extract(p, r"\b(\d{4})\b", 1).try_cast("int")), lambda y: y.between(1990, 2100))
-    return F.coalesce(F.when(named.between(1990, 2100), named), F.try_element_at(years, F.lit(1)))
+    # Only what stands before the last slash can name a year; most paths have no number there at all.
+    above = F.regexp_replace(path, r"/?[^/]*$", "")
+    years = F.filter(F.transform(F.split(above, "/"), lambda p: F.regexp_extract(p, r"\b(\d{4})\b", 1).try_cast("int")), lambda y: y.between(1990, 2100))
+    return F.when(named.between(1990, 2100), named).when(above.rlike(r"\d{4}"), F.try_element_at(years, F.lit(1)))
 
 
 def folder_year(folder: Column) -> Column:

@@ -196,8 +196,13 @@ ORACLES = {
     "filename_base": "WITH " + fx.CAPTURES + f", s AS (SELECT *, {_STEM} AS stem FROM captures), p AS (SELECT *, regexp_replace(stem, '^(.+)_[A-Z][a-z]+$', '\\1') AS bare FROM s) SELECT event_id, regexp_replace(bare, '-edited$', '') AS base, bare LIKE '%-edited' AS is_edited, {_EXT} AS ext, regexp_matches(stem, '(?i)( \\(edited\\)|[-_ ]edited|[-_]edit)$') AS edited_version, regexp_replace(stem, '( \\(edited\\)|[-_ ]edited|[-_]edit)$', '', 'i') AS original_stem FROM p",
     "wallpaper_flag": "WITH " + fx.CAPTURES + f" SELECT event_id, name LIKE '1920x1080 %' AS wallpaper, false AS truncated, CASE WHEN {_EXT} IN ({_IN(media.PHOTO)}) THEN 'photo' WHEN {_EXT} IN ({_IN(media.VIDEO)}) THEN 'video' ELSE 'other' END AS kind FROM captures",
     "sidecar_names": "WITH " + fx.SIDECARS + " SELECT event_id, name, original AS media_name FROM sidecars",
-    "sidecar_dates": "WITH " + fx.SIDECARS + ", m AS (SELECT *, abs((year(taken) - year(created)) * 12 + month(taken) - month(created))::INTEGER AS months FROM sidecars) SELECT event_id, months, coalesce(months < 3, true) AS matches, CASE WHEN months >= 3 THEN least(taken, created) ELSE coalesce(taken, created) END AS organized, least(taken, created) AS merged, CASE WHEN months >= 3 THEN greatest(taken, created) END AS modified FROM m",
-    "geo_refs": "WITH " + fx.SIDECARS + " SELECT event_id, abs(latitude) AS latitude, CASE WHEN latitude >= 0 THEN 'N' ELSE 'S' END AS latitude_ref, abs(longitude) AS longitude, CASE WHEN longitude >= 0 THEN 'E' ELSE 'W' END AS longitude_ref, abs(latitude) > 0.0001 OR abs(longitude) > 0.0001 AS written FROM sidecars WHERE latitude <> 0 OR longitude <> 0",
+    "sidecar_dates": "WITH " + fx.SIDECARS + ", m AS (SELECT *, abs((year(taken) - year(created)) * 12 + month(taken) - month(created))::INTEGER AS months FROM sidecars)"
+        " SELECT event_id, months, coalesce(months < 3, true) AS matches, CASE WHEN months >= 3 THEN least(taken, created)"
+        " ELSE coalesce(taken, created) END AS organized, least(taken, created) AS merged, CASE"
+        " WHEN months >= 3 THEN greatest(taken, created) END AS modified FROM m",
+    "geo_refs": "WITH " + fx.SIDECARS + " SELECT event_id, abs(latitude) AS latitude, CASE WHEN latitude >= 0 THEN 'N' ELSE 'S' END AS latitude_ref, abs(longitude) AS longitude,"
+        " CASE WHEN longitude >= 0 THEN 'E' ELSE 'W' END AS longitude_ref, abs(latitude) > 0.0001 OR abs(longitude) > 0.0001 AS written FROM sidecars"
+        " WHERE latitude <> 0 OR longitude <> 0",
     "destination_paths": "WITH " + fx.CAPTURES + f", s AS (SELECT *, {_STEM} AS stem FROM captures), d AS (SELECT event_id, {_LADDER} AS named, CASE WHEN event_id % 3 = 0 THEN date_trunc('day', ts) END AS side, ts FROM s) SELECT event_id, CASE WHEN named IS NOT NULL THEN 'filename' WHEN side IS NOT NULL THEN 'sidecar' ELSE 'exif' END AS source, 'Organized_Photos' || strftime(coalesce(named, side, ts), '/%Y/%m %B') AS destination FROM d",
     "inferred_year": """WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN page_id % 60 + 1970 WHEN 1 THEN NULL WHEN 2 THEN page_id % 200 + 1950 END AS a, page_id % 300 + 1980 AS trip FROM pages)
       SELECT page_id, CASE WHEN page_id % 4 IN (0, 2) THEN CASE WHEN a BETWEEN 1990 AND 2100 THEN a END WHEN page_id % 4 = 1 THEN CASE WHEN trip BETWEEN 1990 AND 2100 THEN trip END END::INTEGER AS year,
@@ -210,18 +215,34 @@ ORACLES = {
       CASE WHEN lower(ext) IN ({_IN(media.LEGACY_EXTENSIONS)}) THEN CASE WHEN codec IN ({_IN(media.LEGACY_SKIP)}) THEN 'already ' || upper(codec) || ' (unusual for ' || lower(ext) || ')' ELSE 'legacy format (' || lower(ext) || ')' END
         WHEN ext NOT IN ({_IN(media.CHECKED_EXTENSIONS)}) THEN 'not a target format' WHEN codec IS NULL THEN 'could not detect codec' WHEN codec IN ({_IN(media.LEGACY_SKIP)}) THEN 'already ' || upper(codec)
         WHEN codec IN ({_IN(media.LEGACY_CONVERT)}) THEN upper(codec) || ' codec' ELSE 'unknown codec (' || codec || ') - skipping to be safe' END AS legacy_reason, count(*) AS n FROM probes GROUP BY ALL""",
-    "encoder_split": "WITH " + _MEASURED + " SELECT coalesce(bpp > 0.17, false) AS noisy, count(*) AS n, sum(duration) AS seconds, round(sum(duration) * CASE WHEN coalesce(bpp > 0.17, false) THEN 1.6 ELSE 0.12 END::DOUBLE, 3) AS estimate, round(min(bpp), 9) AS least, round(max(bpp), 9) AS largest FROM measured GROUP BY coalesce(bpp > 0.17, false)",
-    "conversion_stats": "WITH " + _MEASURED + ", g AS (SELECT ext, count(*) AS files, sum(size)::BIGINT AS bytes, list_sort(list(bpp))[count(*) // 2 + 1] AS m, min(bpp) AS lo, max(bpp) AS hi FROM measured WHERE bpp IS NOT NULL GROUP BY ext) SELECT ext, files, bytes, " + _SIZE.format("bytes") + " AS shown, round(m, 9) AS median_bpp, round(lo, 9) AS least_bpp, round(hi, 9) AS largest_bpp FROM g",
+    "encoder_split": "WITH " + _MEASURED + " SELECT coalesce(bpp > 0.17, false) AS noisy, count(*) AS n, sum(duration) AS seconds, round(sum(duration) * CASE"
+        " WHEN coalesce(bpp > 0.17, false) THEN 1.6 ELSE 0.12 END::DOUBLE, 3) AS estimate, round(min(bpp), 9) AS least, round(max(bpp), 9) AS largest"
+        " FROM measured GROUP BY coalesce(bpp > 0.17, false)",
+    "conversion_stats": "WITH " + _MEASURED + ", g AS (SELECT ext, count(*) AS files, sum(size)::BIGINT AS bytes, list_sort(list(bpp))[count(*) // 2 + 1] AS m, min(bpp) AS lo, max(bpp) AS hi"
+        " FROM measured WHERE bpp IS NOT NULL GROUP BY ext) SELECT ext, files, bytes, " + _SIZE.format("bytes") + " AS shown, round(m, 9) AS median_bpp, round(lo, 9) AS least_bpp, round(hi, 9) AS largest_bpp FROM g",
     "conversion_check": "WITH " + fx.PROBES + """, v AS (SELECT CASE WHEN file_no % 19 <> 0 THEN CASE WHEN file_no % 23 = 0 THEN 0 ELSE size END END AS size, CASE WHEN file_no % 29 <> 0 THEN abs((file_no % 7 - 3) * 0.5::DOUBLE) END AS apart, CASE WHEN file_no % 31 <> 0 THEN CASE WHEN file_no % 37 = 0 THEN 'h264' ELSE 'hevc' END END AS codec FROM probes)
       , m AS (SELECT CASE WHEN size IS NULL THEN 'converted file does not exist' WHEN size = 0 THEN 'converted file is empty' WHEN apart IS NULL THEN 'could not verify duration' WHEN apart > 1 THEN printf('duration mismatch: %.1fs difference', apart) WHEN coalesce(codec <> 'hevc', true) THEN 'unexpected codec: ' || coalesce(codec, 'None') ELSE 'conversion verified' END AS message FROM v)
       SELECT message = 'conversion verified' AS ok, message, count(*) AS n FROM m GROUP BY message""",
-    "conversion_dedup": "WITH " + fx.PROBES + ", k AS (SELECT *, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '_' || size AS key FROM probes), f AS (SELECT key, min(file_no) AS file_no FROM k WHERE key NOT IN (SELECT key FROM k WHERE file_no % 5 = 0) GROUP BY key) SELECT f.key, f.file_no, min(strftime(l_shipdate, '%Y%m%d_%H%M%S') || '_CAM.h265.mp4') AS output_name FROM f JOIN probes USING (file_no) GROUP BY f.key, f.file_no",
+    "conversion_dedup": "WITH " + fx.PROBES + ", k AS (SELECT *, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '_' || size AS key FROM probes), f AS (SELECT key, min(file_no) AS file_no"
+        " FROM k WHERE key NOT IN (SELECT key FROM k WHERE file_no % 5 = 0) GROUP BY key)"
+        " SELECT f.key, f.file_no, min(strftime(l_shipdate, '%Y%m%d_%H%M%S') || '_CAM.h265.mp4') AS output_name FROM f JOIN probes USING (file_no)"
+        " GROUP BY f.key, f.file_no",
     "motion_photos": "SELECT vec_id, vec_id % 6 > 1 AND vec_id % 7 <> 0 AND (vec_id % 4 <> 0 OR vec_id % 5 <> 0) AS motion_photo FROM embeddings",
     "mime_extensions": "WITH m AS (SELECT unnest([" + _IN((*media.MIME_EXTENSIONS, "text/plain")) + "]) AS mime, unnest([" + _IN(media.MIME_EXTENSIONS.values()) + ", NULL]) AS ext, unnest(range(12)) AS k) SELECT mime, count(*) AS n, ext FROM part JOIN m ON p_partkey % 12 = k GROUP BY mime, ext",
     "magic_types": "SELECT ['.webp', '.jpg', '.png', '.gif', '.heic', '.mp4', NULL, NULL][o_orderkey % 8 + 1] AS ext, count(*) AS n FROM orders GROUP BY ALL",
-    "quality_verdict": "WITH r AS (SELECT (p_partkey % 5 * 2 + 18)::INTEGER AS crf, 1.0::DOUBLE - (p_partkey % 21)::DOUBLE / 100.0::DOUBLE AS ssim, 25.0::DOUBLE + p_partkey % 25 AS psnr, count(*) AS n FROM part GROUP BY ALL) SELECT crf, round(ssim, 6) AS ssim, psnr, n, " + _SSIM.format("Nearly indistinguishable (excellent for archival)", "Significant quality loss") + " AS ssim_label, CASE WHEN ssim >= 1.0 THEN 'Identical' ELSE " + _SSIM.format("Nearly indistinguishable", "Significant differences") + " END AS image_label, CASE WHEN psnr >= 45 THEN 'Excellent (near-lossless)' WHEN psnr >= 40 THEN 'Very good (broadcast quality)' WHEN psnr >= 35 THEN 'Good (acceptable)' WHEN psnr >= 30 THEN 'Fair (some artifacts)' ELSE 'Poor (significant loss)' END AS psnr_label, CASE WHEN ssim >= 0.95 AND psnr >= 38 THEN 'VISUALLY LOSSLESS' WHEN ssim >= 0.90 AND psnr >= 35 THEN 'GOOD QUALITY' ELSE 'NOTICEABLE LOSS' END AS verdict FROM r",
-    "crf_choice": "WITH r AS (SELECT p_partkey % 50 AS clip, p_partkey % 7 * 2 + 18 AS crf, 99 - p_partkey % 7 * (p_partkey % 50 % 3 + 1) AS q, 1000 + p_partkey % 50 AS b, 1000 - p_partkey % 7 * 90 AS a FROM part) SELECT clip, max(crf) AS best_crf, round((max(b) - max_by(a, crf)) * 100.0::DOUBLE / max(b), 4) AS saved_percent FROM r WHERE q >= 95 GROUP BY clip",
-    "display_forms": "WITH r AS (SELECT o_orderkey, o_orderkey * o_orderkey * 977 AS b, o_orderkey % 9000 AS s FROM orders) SELECT o_orderkey, " + _SIZE.format("b") + " AS size, CASE WHEN s >= 3600 THEN printf('%dh %dm %ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%ds', s) END AS time FROM r",
-    "error_histogram": "WITH " + fx.CAPTURES + ", m AS (SELECT event_id % 5 AS r, " + _EXT + " AS ext, CASE event_id % 5 WHEN 0 THEN 'Hash failed: ' || name WHEN 1 THEN 'Cannot stat: in/x: ' || name WHEN 2 THEN name ELSE 'Read error: dir/file' || event_id END AS message FROM captures WHERE event_type = 'error') SELECT CASE r WHEN 0 THEN 'Hash failed' WHEN 1 THEN 'Cannot stat' WHEN 2 THEN 'Unknown' ELSE 'Read error' END || ' (' || CASE WHEN r > 2 THEN '(no extension)' ELSE ext END || ')' AS category, count(*) AS n, min(message) AS first_message FROM m GROUP BY category",
+    "quality_verdict": "WITH r AS (SELECT (p_partkey % 5 * 2 + 18)::INTEGER AS crf, 1.0::DOUBLE - (p_partkey % 21)::DOUBLE / 100.0::DOUBLE AS ssim, 25.0::DOUBLE + p_partkey % 25 AS psnr, count(*) AS n"
+        " FROM part GROUP BY ALL) SELECT crf, round(ssim, 6) AS ssim, psnr, n, " + _SSIM.format("Nearly indistinguishable (excellent for archival)", "Significant quality loss") + " AS ssim_label, CASE WHEN ssim >= 1.0 THEN 'Identical' ELSE " + _SSIM.format("Nearly indistinguishable", "Significant differences") + " END AS image_label, CASE WHEN psnr >= 45 THEN 'Excellent (near-lossless)' WHEN psnr >= 40 THEN 'Very good (broadcast quality)'"
+        " WHEN psnr >= 35 THEN 'Good (acceptable)' WHEN psnr >= 30 THEN 'Fair (some artifacts)' ELSE 'Poor (significant loss)' END AS psnr_label,"
+        " CASE WHEN ssim >= 0.95 AND psnr >= 38 THEN 'VISUALLY LOSSLESS' WHEN ssim >= 0.90 AND psnr >= 35 THEN 'GOOD QUALITY'"
+        " ELSE 'NOTICEABLE LOSS' END AS verdict FROM r",
+    "crf_choice": "WITH r AS (SELECT p_partkey % 50 AS clip, p_partkey % 7 * 2 + 18 AS crf, 99 - p_partkey % 7 * (p_partkey % 50 % 3 + 1) AS q, 1000 + p_partkey % 50 AS b, 1000 - p_partkey % 7 * 90 AS a"
+        " FROM part) SELECT clip, max(crf) AS best_crf, round((max(b) - max_by(a, crf)) * 100.0::DOUBLE / max(b), 4) AS saved_percent FROM r"
+        " WHERE q >= 95 GROUP BY clip",
+    "display_forms": "WITH r AS (SELECT o_orderkey, o_orderkey * o_orderkey * 977 AS b, o_orderkey % 9000 AS s FROM orders) SELECT o_orderkey, " + _SIZE.format("b") + " AS size, CASE WHEN s >= 3600 THEN printf('%dh %dm %ds', s // 3600, s % 3600 // 60, s % 60)"
+        " WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%ds', s) END AS time FROM r",
+    "error_histogram": "WITH " + fx.CAPTURES + ", m AS (SELECT event_id % 5 AS r, " + _EXT + " AS ext, CASE event_id % 5 WHEN 0 THEN 'Hash failed: ' || name WHEN 1 THEN 'Cannot stat: in/x: ' || name WHEN 2 THEN name"
+        " ELSE 'Read error: dir/file' || event_id END AS message FROM captures WHERE event_type = 'error') SELECT CASE r WHEN 0 THEN 'Hash failed'"
+        " WHEN 1 THEN 'Cannot stat' WHEN 2 THEN 'Unknown' ELSE 'Read error' END || ' (' || CASE WHEN r > 2 THEN '(no extension)'"
+        " ELSE ext END || ')' AS category, count(*) AS n, min(message) AS first_message FROM m GROUP BY category",
     "encoder_log": "SELECT s_suppkey, ('0.' || (s_suppkey % 80 + 20))::DOUBLE AS ssim, ((s_suppkey % 30 + 20) || '.5')::DOUBLE AS psnr FROM supplier",
 }

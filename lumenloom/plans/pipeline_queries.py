@@ -226,7 +226,8 @@ ORACLES = {
       c AS (SELECT dir, name, blur, event_id * 7919 % 9000 AS content, blur < 30 AND coalesce(sharp, false) AS safe FROM captures LEFT JOIN found USING (event_id) WHERE blur < 40 AND edge_density >= 0.02),
       equal AS (SELECT event_id * 7919 % 9000 AS content FROM captures GROUP BY ALL HAVING count(*) > 1)
       SELECT CASE WHEN safe THEN 'safe' ELSE 'review' END AS section, count(*) AS n, min(blur) AS least_blur FROM c WHERE (dir, name) NOT IN (SELECT (dir, name) FROM members) AND content NOT IN (SELECT content FROM equal) GROUP BY section""",
-    "event_plan_with_birthdays": "WITH " + _BIRTHDAYS + SPANS.format(rows="rest", least=10) + " SELECT year(day)::INTEGER AS dir, name AS label, kind, count(*) AS photos FROM firsts GROUP BY ALL UNION ALL SELECT dir::INTEGER, label, 'cluster', photos FROM named",
+    "event_plan_with_birthdays": "WITH " + _BIRTHDAYS + SPANS.format(rows="rest", least=10) + " SELECT year(day)::INTEGER AS dir, name AS label, kind, count(*) AS photos FROM firsts GROUP BY ALL UNION ALL"
+        " SELECT dir::INTEGER, label, 'cluster', photos FROM named",
     "archive_project_moves": "WITH " + fx.CAPTURES + f""", f AS (SELECT *, ['2019', '100CANON', 'Rome', 'Zoo day', '07 Rome', 'DCIM x'][event_id % 6 + 1] AS folder, CASE WHEN event_id % 6 = 3 THEN '.txt' ELSE {_EXT} END AS ext, CASE WHEN dir % 9 <> 0 THEN ts END AS own FROM captures),
       p AS (SELECT dir, folder, count_if(ext <> '.txt') AS photos FROM f GROUP BY ALL HAVING photos > 0 AND NOT regexp_matches(folder, '^\\d{{4}}$|^\\d{{3}}[A-Z0-9]+$')),
       m AS (SELECT dir, folder, date_trunc('month', own) AS month FROM f WHERE own IS NOT NULL GROUP BY dir, folder, date_trunc('month', own) QUALIFY row_number() OVER (PARTITION BY dir, folder ORDER BY count(*) DESC, min(own)) = 1),

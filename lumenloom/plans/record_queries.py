@@ -143,7 +143,8 @@ ORACLES = {
     "sidecar_of_media": "WITH " + fx.SIDECARS + """, s AS (SELECT dir, name FROM sidecars WHERE event_id % 3 <> 0 UNION ALL SELECT dir, name || '.json' FROM captures WHERE event_id % 7 = 0 UNION ALL SELECT dir, name || '.a.json' FROM captures WHERE event_id % 5 = 0)
       SELECT event_id, coalesce(min(CASE WHEN s.name = c.name || '.json' THEN s.name END), min(s.name)) AS sidecar FROM captures c LEFT JOIN s ON c.dir = s.dir AND (s.name = c.name || '.json' OR (starts_with(s.name, c.name || '.') AND s.name LIKE '%.json')) GROUP BY event_id""",
     "record_properties": "WITH " + fx.PROBES + f", p AS (SELECT file_no, CASE WHEN file_no % 50 <> 0 THEN width ELSE 0 END * height AS pixels, {_RATE} AS rate FROM probes) SELECT file_no, pixels, round(CASE WHEN pixels > 0 AND rate > 0 THEN rate::DOUBLE / pixels ELSE 0 END, 6) AS per_pixel FROM p",
-    "exif_writes": _DATED + ", d AS (SELECT event_id, tool, CASE WHEN packed THEN date_trunc('second', ts) WHEN year(tool) > 1980 THEN tool ELSE mtime END AS date FROM dated) SELECT event_id, date IS NOT NULL AS has_valid_date, date IS NOT NULL AND date IS DISTINCT FROM tool AS needs_exif_write FROM d",
+    "exif_writes": _DATED + ", d AS (SELECT event_id, tool, CASE WHEN packed THEN date_trunc('second', ts) WHEN year(tool) > 1980 THEN tool ELSE mtime END AS date"
+        " FROM dated) SELECT event_id, date IS NOT NULL AS has_valid_date, date IS NOT NULL AND date IS DISTINCT FROM tool AS needs_exif_write FROM d",
     "archive_routing": _DECIDED + """, o AS (SELECT event_id, name, existing_path, ts, CASE WHEN event_id % 97 = 0 THEN 'failed' ELSE action END AS outcome FROM archive JOIN decisions USING (path) JOIN (SELECT event_id, ts FROM captures) USING (event_id))
       SELECT event_id, outcome, CASE outcome WHEN 'replaced' THEN existing_path WHEN 'moved' THEN 'Organized_Videos' || strftime(ts, '/%Y/%m %B/') || name END AS place FROM o""",
     "blur_scan": "WITH " + fx.CAPTURES + f", s AS (SELECT event_id, edge_density, event_id % 3 <> 0 AND event_id % 8 <> 0 AS cached, blur + CASE WHEN event_id % 3 <> 0 AND event_id % 8 <> 0 THEN 1.0::DOUBLE ELSE 0 END AS blur FROM captures) SELECT event_id, cached, blur, {_BLUR_LABEL} AS label, coalesce(blur < 40 AND NOT edge_density < 0.02, false) AS is_blurry FROM s",

@@ -89,13 +89,18 @@ ORACLES = {
       SELECT event_id, coalesce(a, b, c, y) AS date, CASE WHEN a IS NOT NULL THEN 'filename' WHEN b IS NOT NULL THEN 'sidecar' WHEN c IS NOT NULL THEN 'exif' WHEN y IS NOT NULL THEN 'inferred' END AS source, coalesce(a, b, c) IS NULL AS review FROM d""",
     "archive_projects": _FOLDERS + " SELECT dir, folder FROM g WHERE folder IN ('Rome', '07 Rome', 'DCIM x')",
     "folder_cleanup": _FOLDERS + " SELECT dir, files FROM g WHERE folder = 'Zoo day'",
-    "project_folder_match": "SELECT n_nationkey, n_name AS folder, CASE WHEN n_nationkey % 3 <> 0 THEN lpad((n_nationkey % 12 + 1)::VARCHAR, 2, '0') || ' ' || n_name END AS existing_folder FROM nation",
+    "project_folder_match": "SELECT n_nationkey, n_name AS folder, CASE"
+        " WHEN n_nationkey % 3 <> 0 THEN lpad((n_nationkey % 12 + 1)::VARCHAR, 2, '0') || ' ' || n_name END AS existing_folder FROM nation",
     "project_files": "WITH " + fx.CAPTURES + """, k AS (SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS p, name FROM captures), h AS (SELECT CASE WHEN event_id % 8 = 4 THEN p || '.jpg' ELSE name END AS name, max_by((event_id % 5)::VARCHAR, event_id) AS folder FROM k WHERE event_id % 4 = 0 GROUP BY ALL),
       f AS (SELECT event_id, CASE WHEN event_id % 8 = 4 THEN p || '-edited.jpg' ELSE name END AS name FROM k), o AS (SELECT *, CASE WHEN name LIKE '%-edited.jpg' THEN replace(name, '-edited.jpg', '.jpg') END AS original FROM f)
       SELECT event_id, coalesce(a.folder, b.folder) AS project, CASE WHEN a.folder IS NOT NULL THEN 'duplicate' WHEN b.folder IS NOT NULL THEN 'original' END AS follows FROM o LEFT JOIN h a ON o.name = a.name LEFT JOIN h b ON o.original = b.name""",
-    "event_homes": "WITH " + HOLIDAYS + ", firsts AS (SELECT * FROM claimed QUALIFY row_number() OVER (PARTITION BY id ORDER BY start_date, place, name) = 1) SELECT year(day)::INTEGER AS year, name, strftime(min(day), '%m %B') AS home, count(*) AS photos FROM firsts GROUP BY year(day), name",
-    "blurriest": "SELECT event_id, user_id AS dir, value AS blur, (SELECT greatest(count(*) - 20, 0) FROM events WHERE value < 40) AS more FROM events WHERE value < 40 ORDER BY value, event_id LIMIT 20",
-    "worst_folders": "WITH w AS (SELECT user_id AS dir, count_if(value < 30)::BIGINT AS issues FROM events GROUP BY user_id HAVING count_if(value < 30) > 0) SELECT dir, issues, (SELECT greatest(count(*) - 30, 0) FROM w) AS more FROM w ORDER BY issues DESC, dir LIMIT 30",
-    "extension_fixes": "WITH r AS (SELECT o_orderkey, ['.jpg', '.png', '.mp4'][o_orderkey % 3 + 1] AS ext, ['.jpg', '.png', '.mp4', NULL][o_orderkey % 4 + 1] AS actual FROM orders) SELECT o_orderkey, 'IMG_' || o_orderkey || actual AS renamed FROM r WHERE actual <> ext",
+    "event_homes": "WITH " + HOLIDAYS + ", firsts AS (SELECT * FROM claimed QUALIFY row_number() OVER (PARTITION BY id ORDER BY start_date, place, name) = 1)"
+        " SELECT year(day)::INTEGER AS year, name, strftime(min(day), '%m %B') AS home, count(*) AS photos FROM firsts GROUP BY year(day), name",
+    "blurriest": "SELECT event_id, user_id AS dir, value AS blur, (SELECT greatest(count(*) - 20, 0) FROM events WHERE value < 40) AS more FROM events"
+        " WHERE value < 40 ORDER BY value, event_id LIMIT 20",
+    "worst_folders": "WITH w AS (SELECT user_id AS dir, count_if(value < 30)::BIGINT AS issues FROM events GROUP BY user_id HAVING count_if(value < 30) > 0)"
+        " SELECT dir, issues, (SELECT greatest(count(*) - 30, 0) FROM w) AS more FROM w ORDER BY issues DESC, dir LIMIT 30",
+    "extension_fixes": "WITH r AS (SELECT o_orderkey, ['.jpg', '.png', '.mp4'][o_orderkey % 3 + 1] AS ext, ['.jpg', '.png', '.mp4', NULL][o_orderkey % 4 + 1] AS actual"
+        " FROM orders) SELECT o_orderkey, 'IMG_' || o_orderkey || actual AS renamed FROM r WHERE actual <> ext",
     "legacy_plan": "WITH " + fx.PROBES + f" SELECT ext, count(*) AS n, sum(size)::BIGINT AS bytes, round(sum(size)::DOUBLE / 100000000.0::DOUBLE, 4) AS minutes FROM probes WHERE (lower(ext) IN ({', '.join(repr(x) for x in media.LEGACY_EXTENSIONS)}) AND coalesce(codec NOT IN ({', '.join(repr(x) for x in media.LEGACY_SKIP)}), true)) OR (ext IN ({', '.join(repr(x) for x in media.CHECKED_EXTENSIONS)}) AND codec IN ({', '.join(repr(x) for x in media.LEGACY_CONVERT)})) GROUP BY ext",
 }

@@ -139,13 +139,16 @@ ORACLES = {
     "event_plan": "WITH " + HOLIDAYS + """, firsts AS (SELECT * FROM claimed QUALIFY row_number() OVER (PARTITION BY id ORDER BY start_date, place, name) = 1),
       rest AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, year(o_orderdate) AS dir FROM orders WHERE o_orderkey NOT IN (SELECT id FROM claimed)), """ + SPANS.format(rows="rest", least=10) + """
       SELECT year(day)::INTEGER AS dir, name AS label, count(*) AS photos, 'holiday' AS kind FROM firsts GROUP BY ALL UNION ALL SELECT dir::INTEGER, label, photos, 'cluster' FROM named""",
-    "context_neighbors": "WITH " + NEAR + " SELECT event_id, neighbor_id, abs(us) / 1000000.0::DOUBLE AS diff_seconds, CASE WHEN us < 0 THEN 'before' ELSE 'after' END AS position, nearness::INTEGER AS nearness, " + _LABEL.format("neighbor_blur") + " AS interpretation FROM nearest",
+    "context_neighbors": "WITH " + NEAR + " SELECT event_id, neighbor_id, abs(us) / 1000000.0::DOUBLE AS diff_seconds, CASE WHEN us < 0 THEN 'before'"
+        " ELSE 'after' END AS position, nearness::INTEGER AS nearness, " + _LABEL.format("neighbor_blur") + " AS interpretation FROM nearest",
     "blurry_with_context": "WITH " + NEAR + """, found AS (SELECT event_id, count(*) AS neighbors, bool_or(coalesce(neighbor_blur >= 40, false)) AS sharp FROM nearest GROUP BY event_id)
       SELECT event_id, dir, coalesce(neighbors, 0) AS neighbors, coalesce(sharp, false) AS has_sharp_neighbor, blur < 30 AND coalesce(sharp, false) AS safe_to_delete
       FROM captures LEFT JOIN found USING (event_id) WHERE blur < 40 AND edge_density >= 0.02""",
     "blur_bands": "WITH " + fx.CAPTURES + " SELECT " + _LABEL.format("blur") + " AS label, count(*) AS n, min(blur) AS least, max(blur) AS largest FROM captures GROUP BY label",
     "blur_distribution": "SELECT count(value) AS n, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{p}" for q, p in ((0.1, 10), (0.25, 25), (0.5, 50), (0.75, 75), (0.9, 90))) + ", max(value) AS largest FROM events",
-    "threshold_impact": "SELECT t::INTEGER AS threshold, count_if(value < t)::BIGINT AS flagged, round(count_if(value < t) * 100.0::DOUBLE / count(value), 4) AS percent FROM events, (VALUES (20), (30), (40), (80)) v(t) GROUP BY t",
-    "texture_filter": "WITH " + fx.CAPTURES + " SELECT dir, count_if(blur < 40 AND edge_density >= 0.02)::BIGINT AS blurry, count_if(blur < 40 AND edge_density < 0.02)::BIGINT AS exempt FROM captures GROUP BY dir",
+    "threshold_impact": "SELECT t::INTEGER AS threshold, count_if(value < t)::BIGINT AS flagged, round(count_if(value < t) * 100.0::DOUBLE / count(value), 4) AS percent"
+        " FROM events, (VALUES (20), (30), (40), (80)) v(t) GROUP BY t",
+    "texture_filter": "WITH " + fx.CAPTURES + " SELECT dir, count_if(blur < 40 AND edge_density >= 0.02)::BIGINT AS blurry, count_if(blur < 40 AND edge_density < 0.02)::BIGINT AS exempt"
+        " FROM captures GROUP BY dir",
     "streaming_bursts": _BURSTS + " SELECT dir, count(*) AS n, min(ts) AS start_ts, max(ts) AS end_ts FROM grouped WHERE n > 1 GROUP BY dir, group_id",
 }
