@@ -7,12 +7,13 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.llm import base
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -46,7 +47,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 1024, kept_pieces: int = 400_000) -> DataFrame:
-    """Encode texts (null: empty), append ``end_id`` and cut each document every ``capacity`` ids."""
+    """Encode texts (null: empty), append ``end_id`` and cut each document every ``capacity`` ids. ``row`` numbers the documents, whatever their doc_id."""
     base.ship(docs.sparkSession)
 
     def cut(batches):
@@ -54,6 +55,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
 
         worker.enter("vocab")
         encoder = vocab.encoder(tokenizer_path, kept_pieces)
+        before = TaskContext.get().partitionId() << 36
         for batch in batches:
             for lo, hi, ids, bounds in encoder.documents(batch.column(1), end_id):
                 size = np.diff(bounds)
@@ -63,8 +65,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
                 length = np.minimum(capacity, size[doc] - start)
                 raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip((bounds[doc] + start).tolist(), length.tolist(), strict=True)]
-                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (start, length, crc, size[doc]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (start, length, crc, size[doc], before + lo + doc))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
+            before += batch.num_rows
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
@@ -72,26 +75,27 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, pieces_per_group: int = 2048, seed: int = 7, kept_pieces: int = 400_000) -> DataFrame:
     """Pack all ``docs`` (doc_id, text) into sequences of at most ``capacity`` ids.
 
-    Documents are dealt at random (a seeded hash of doc_id and start) into groups of about
+    Documents are dealt at random (a seeded hash of their row number) into groups of about
     ``pieces_per_group`` pieces, and each group is packed by itself by first-fit
     decreasing, so no task grows with the corpus and groups are even whatever the
-    sources. Texts never move: only the pieces' lengths are shuffled. A null or
-    empty text is one piece of length 1; rows that share a doc_id are packed
-    each for itself; an empty table gives no rows; other columns are ignored. ``kept_pieces`` bounds the
-    encoder's cache in each worker: fewer cost time, not results.
+    sources and identifiers; a group holds whole documents. Texts never move: only the
+    pieces' lengths are shuffled. A null or empty text is one piece of length 1; rows that
+    share a doc_id, or have none, are packed each for itself; an empty table gives no
+    rows; other columns are ignored. ``kept_pieces`` bounds the encoder's cache in each
+    worker: fewer cost time, not results.
     """
     with base.small_batches(docs.sparkSession):
         pieces = base.materialize(cut_pieces(docs, tokenizer_path, capacity=capacity, kept_pieces=kept_pieces), "pieces")
     groups = max(1, round(pieces.count() / pieces_per_group))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "row", "start"], ascending=[False, True, True], kind="stable")
         placed = first_fit_decreasing(pdf["length"].tolist(), capacity)
         pdf["sequence_id"] = (int(pdf["group"].iloc[0]) << 32) + pd.Series([b for b, _ in placed], index=pdf.index, dtype="int64")
         pdf["offset"] = pd.Series([o for _, o in placed], index=pdf.index, dtype="int64")
-        return pdf.drop(columns="group")
+        return pdf.drop(columns=["group", "row"])
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(fit, PACKED)
 
 

@@ -118,6 +118,10 @@ def test_packing(docs, texts, plain):
             assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == crc(ids[at : at + r["length"]])
             at += r["length"]
         assert at == len(ids)
+    group = {}  # a document's pieces are packed in one group
+    for r in rows:
+        assert group.setdefault(r["doc_id"], r["sequence_id"] >> 32) == r["sequence_id"] >> 32
+    assert len(set(group.values())) > 1
     for spans in of_sequence.values():
         at = 0
         for offset, length in sorted(spans):
@@ -127,6 +131,14 @@ def test_packing(docs, texts, plain):
     assert sum(r["length"] for r in rows) >= 0.97 * 64 * len(of_sequence)
 
 
+def test_packing_rows_without_identifier(spark):
+    rows = [(None, "a b c")] * 500 + [(3, "x")] * 500
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")), PATH, capacity=8, pieces_per_group=50)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    sizes = [r["n"] for r in got.groupBy(F.shiftright("sequence_id", 32).alias("g")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1000 and len(sizes) >= 18 and max(sizes) < 100
+
+
 def test_bpe(docs, texts):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
