@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import string
@@ -15,8 +16,9 @@ import pyarrow.compute as pc
 
 from lumenloom.llm import worker
 
-# A single space between two visible characters starts a new pre-token in the
-# vocabularies' pattern, so a text may be cut before it.
+# Fixed value: the pattern of pre-tokens that the cuts are made for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# A single space between two visible characters starts a new pre-token there, so a text may be cut before it.
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 # The white space beyond ASCII.
 WIDE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -101,7 +103,8 @@ class CachedEncoder:
     that, those stay that the block at hand uses. New pieces are encoded many in one
     string, and parted by the bytes that each id stands for. Added tokens of the
     vocabulary (such as an end mark) get their own id wherever their string stands in a
-    text, as the library does by default.
+    text, as the library does by default. Vocabularies that part texts by another rule
+    than PATTERN get whole texts.
     """
 
     def __init__(self, path: str, kept: int = 400_000):
@@ -119,6 +122,9 @@ class CachedEncoder:
         for token, k in vocabulary.items():
             self._bytes[k] = len(added[k].content.encode()) if k in added else len(token)
         # Cuts at spaces would part these, or keep them from the white space that they take in.
+        rules = json.loads(self._tokenizer.to_str())
+        by = rules["pre_tokenizer"] or {}
+        self._cuts = rules["normalizer"] is None and by.get("type") == "ByteLevel" and by.get("use_regex", True) and not by.get("add_prefix_space", True)
         self._added = [t.content.encode() for t in added.values()]
         self._spaced = [t.content.encode() for t in added.values() if t.lstrip or t.rstrip or re.search(r"\s", t.content)]
 
@@ -133,6 +139,7 @@ class CachedEncoder:
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``pieces``, one after the other, and how many each has."""
         chains = np.fromiter((len(x) <= KEPT_BYTES and x != b"" and _visible(x) for x in pieces), dtype=bool, count=len(pieces))
+        chains &= bool(self._cuts)
         if self._spaced:
             chains &= ~np.fromiter((any(m in x for m in self._spaced) for x in pieces), dtype=bool, count=len(pieces))
         order = [*np.flatnonzero(chains).tolist(), *np.flatnonzero(~chains).tolist()]
@@ -209,7 +216,8 @@ class CachedEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         edges = offsets - offsets[0]
         bound = np.zeros(len(data) + 1, bool)
-        bound[safe_cuts(data)] = True
+        if self._cuts:
+            bound[safe_cuts(data)] = True
         for mark in self._added:
             for at in _places(buffer, mark, int(offsets[0]), int(offsets[-1])):
                 bound[at + 1 : at + len(mark)] = False
@@ -250,8 +258,9 @@ _LONG_SPACE = re.compile(rf"[\t-\r {WIDE_SPACE}]{{1000,}}")
 class RankEncoder:
     """tiktoken encoding from a local rank file, for texts of any length, and raw-byte decoding.
 
-    The cuts hold for patterns such as public_tokenizers.PATTERN: a run of white space is
-    one pre-token but for its last character, if something visible follows.
+    By PATTERN a run of white space is one pre-token but for its last character, if
+    something visible follows. Texts are cut for that pattern only; with another one they
+    are encoded whole.
     """
 
     #: Longer texts are encoded in pieces of about this many characters, cut at safe places.
@@ -262,12 +271,13 @@ class RankEncoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self._cuts = pattern == PATTERN
         self._encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of the whole text, without special tokens; null counts as empty."""
         text = text or ""
-        if len(text) <= self.LONG:
+        if len(text) <= self.LONG or not self._cuts:
             return self._encoding.encode_ordinary(text)
         ids: list[int] = []
         start = 0

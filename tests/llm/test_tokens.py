@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
 from lumenloom.llm import base, bpe, packing, seekable, token_output, vocab
 
@@ -47,6 +47,22 @@ def test_cached_encoder_is_the_library(plain, texts):
     assert plain("a <|endoftext|>") == [64, 220, 50256]
 
 
+def test_other_rules_of_parting_texts(tmp_path):
+    assert vocab.PATTERN == public_tokenizers.PATTERN
+    for kind in ("lower", "pieces"):
+        t = Tokenizer.from_file(PATH)
+        if kind == "lower":
+            t.normalizer = normalizers.Lowercase()
+        else:
+            t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"[^\r\n\p{L}]?\p{L}+|\s*[\r\n]+|[^\p{L}]+"), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        t.save(str(tmp_path / kind))
+        e = vocab.CachedEncoder(str(tmp_path / kind))
+        texts = ["A b.\nC d", "x. Y", "don't. ", "The\nend", "  a"]
+        ids, bounds = e.encode(pa.array(texts))
+        assert [ids[bounds[k] : bounds[k + 1]].tolist() for k in range(len(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert vocab.RankEncoder(RANKS, r"\S+|\s")._cuts is False
+
+
 def test_texts_are_dealt_to_blocks():
     rows = pa.array(["x" * n for n in (3, 0, 4, 50, 2, 2)] + [None])
     assert list(vocab.blocks(rows, 8)) == [(0, 3), (3, 4), (4, 7)]
