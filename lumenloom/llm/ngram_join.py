@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.llm import base, graph, worker
-from lumenloom.llm.signature_tree import DOWN, UP, SignatureTree, bitmap, spanning
+from lumenloom.llm.signature_tree import DOWN, UP, SignatureTree, bitmap, folded, spanning
 
 WORDS = 5
 BANDS, ROWS = 32, 3
@@ -156,8 +156,7 @@ def chunk_join(dealt: DataFrame, columns: list[str], pairs_of: Callable[[pa.Tabl
 
 def tree_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of a chunk that the dual traversal of its signature tree leaves over."""
-    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(rows.num_rows, -1)
-    return SignatureTree(rows.column("size").to_numpy(), bits).pairs(rows.column("label").to_numpy())
+    return SignatureTree(rows.column("size").to_numpy(), folded(rows.column("bits").to_pylist())).pairs(rows.column("label").to_numpy())
 
 
 def _few(ids: DataFrame) -> DataFrame:

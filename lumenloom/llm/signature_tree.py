@@ -11,18 +11,29 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 2048
+#: Bits of a map: at least twice the set's size, within these limits.
+LEAST_BITS, MOST_BITS = 2048, 1 << 17
 LEAF, FAN = 16, 4
 #: J >= UP / DOWN, in whole numbers.
 UP, DOWN = 3, 4
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    """A map of the tokens; larger sets have larger maps, so that none fills up."""
+    width = LEAST_BITS
+    while width < 2 * len(tokens) and width < MOST_BITS:
+        width *= 2
+    bits = np.zeros(width, dtype=np.uint8)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def folded(maps: list[bytes]) -> np.ndarray:
+    """(maps, words) of maps of several widths, folded to the least of them: a token's bit is its hash modulo the width."""
+    least = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, dtype=np.uint64).reshape(-1, least // 8), axis=0) for m in maps])
+
+
 class SignatureTree:
     """Built bottom-up over documents ordered by size, then bitmap, so that like ones share a leaf."""
 
@@ -85,8 +96,9 @@ class SignatureTree:
         # Linear counting of the union tells how alike the pair probably is; full bitmaps tell nothing.
         union = np.bitwise_count(p[i] | q[j]).sum(axis=1, dtype=np.int64)
         total = self.size[a[0] + i] + self.size[b[0] + j]
-        count = np.maximum(np.maximum(self.size[a[0] + i], self.size[b[0] + j]), -BITS * np.log(np.maximum(1.0 - union / BITS, 1e-9)))
-        return a[0] + i, b[0] + j, np.where(union > 0.97 * BITS, most[i, j] / (total - most[i, j]), np.maximum(0.0, (total - count) / count))
+        width = 64 * self.bits.shape[1]
+        count = np.maximum(np.maximum(self.size[a[0] + i], self.size[b[0] + j]), -width * np.log(np.maximum(1.0 - union / width, 1e-9)))
+        return a[0] + i, b[0] + j, np.where(union > 0.97 * width, most[i, j] / (total - most[i, j]), np.maximum(0.0, (total - count) / count))
 
 
 def spanning(i: np.ndarray, j: np.ndarray, likeness: np.ndarray, n: int, least: float = 0.68) -> list[tuple[int, int]]:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenloom.llm import exact_dedup, fingerprint, graph, ngram_join
-from lumenloom.llm.signature_tree import SignatureTree, bitmap, spanning
+from lumenloom.llm.signature_tree import SignatureTree, bitmap, folded, spanning
 
 
 def ids(texts):
@@ -148,6 +148,19 @@ def test_tree_bounds_never_lose_a_pair():
     assert spanning(i, j, e, len(sets))
 
 
+def test_maps_of_long_texts_do_not_fill_up():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in [*rng.integers(3000, 9000, 60).tolist(), *rng.integers(200, 900, 20).tolist()]]
+    sets += [np.unique(np.concatenate([s[: int(len(s) * 0.9)], rng.integers(0, 1 << 63, len(s) // 20, dtype=np.uint64)])) for s in sets[:30]]
+    long = [s for s in sets if len(s) > 2500]
+    for some, most in ((long, 60), (sets, len(sets) ** 2)):
+        maps = [bitmap(s) for s in some]
+        i, j, _ = SignatureTree(np.array([len(s) for s in some]), folded(maps)).pairs(np.arange(len(some)))
+        found = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        want = {(a, b) for a, b in itertools.combinations(range(len(some)), 2) if ngram_join.linked(some[a], some[b])}
+        assert want <= found and len(want) >= 25 and len(found) <= most
+
+
 def test_graph(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000, k) for k in range(1001, 1300)]
