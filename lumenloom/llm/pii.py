@@ -77,13 +77,18 @@ LOCAL_PHONE = r"(?<![\w.(+-])\(?[2-9]\d{2}\)?[ .-]\d{3}[.-]\d{4}(?!\w|[.-]\d)"
 IPV4 = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|[.-]\d)"
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?!\w|[.-]\d)"
+#: Titles that no other title begins: a text without these holds none.
+_LEAST_TITLES = tuple(t for g in TITLES.values() for t in g if not any(t != o and t.startswith(o) for h in TITLES.values() for o in h))
 _TITLE = rf"(?:{'|'.join(x for g in TITLES.values() for x in g)})\.?"
 # A word of a name: initials before a further word, or a capital with inner capitals, marks, apostrophes and hyphens ('s and the like are no part of it).
 _WORD = r"(?:(?:\p{Lu}\.){1,4}(?= \p{Lu})|(?:[dlDL]['’](?=\p{Lu}))?\p{Lu}[\p{L}\p{M}]*+(?:(?:-(?=\p{L})|['’](?=\p{Lu}|\p{L}{3}))[\p{L}\p{M}]++){0,4}(?![\p{L}\p{M}\p{N}]))"
 _NAME_WORD = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}(?!{_TITLE} ){_WORD}"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME_WORD}(?: {_NAME_WORD}){{0,6}}"
 KINDS = {"email": EMAIL, "iban": IBAN, "phone": f"{PHONE}|{LOCAL_PHONE}", "ip": IPV4, "card": CARD, "ssn": SSN, "name": NAME}
-ENTITY = "|".join((EMAIL, IBAN, PHONE, IPV4, CARD, SSN, LOCAL_PHONE, NAME))
+# Every kind but names holds a digit or an @. No entity begins after an ASCII letter or digit, which is the quickest to see.
+_START = r"(?<![A-Za-z0-9])"
+NUMBERED = _START + "(?:" + "|".join((EMAIL, IBAN, PHONE, IPV4, CARD, SSN, LOCAL_PHONE)) + ")"
+ENTITY = _START + "(?:" + "|".join((EMAIL, IBAN, PHONE, IPV4, CARD, SSN, LOCAL_PHONE, NAME)) + ")"
 
 
 def _number(key: str, *parts: Column) -> Column:
@@ -352,7 +357,7 @@ def _untitled(m: Column) -> Column:
 def _pattern(full: Column) -> Column:
     """ENTITY, and for a text with full titled names these names without a title, too."""
     words = F.transform(full, lambda m: F.concat(F.lit(r"\Q"), _untitled(m), F.lit(r"\E")))
-    own = F.concat(F.lit(rf"(?:{ENTITY})|(?<![\p{{L}}\p{{N}}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    own = F.concat(F.lit(rf"{ENTITY}|(?<![\p{{L}}\p{{N}}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
     return F.when(F.size(full) > 0, own).otherwise(F.lit(ENTITY))
 
 
@@ -370,7 +375,13 @@ def _titled(m: Column, full: Column) -> Column:
 def found_in(docs: DataFrame) -> DataFrame:
     """``docs`` with _full (the full titled names of a text), and _found (its entities in order), written once."""
     text = F.col("text")
-    first = docs.withColumn("_found", _found(text, F.lit(ENTITY)))
+    # What cannot be in a text is not searched for.
+    titled, numbered = F.lit(False), text.rlike("[0-9@]")
+    for title in _LEAST_TITLES:
+        titled = titled | text.contains(title)
+    none = F.array().cast("array<string>")
+    searched = F.when(numbered & titled, _found(text, F.lit(ENTITY))).when(numbered, _found(text, F.lit(NUMBERED))).when(titled, _found(text, F.lit(NAME))).otherwise(none)
+    first = docs.withColumn("_found", searched)
     named = first.withColumn("_full", F.when(F.exists("_found", lambda m: m.rlike(r"^\p{L}") & ~m.contains("@")), _full_names(F.col("_found"))).otherwise(F.array().cast("array<string>")))
     return base.materialize(named.withColumn("_found", F.when(F.size("_full") > 0, _found(text, _pattern(F.col("_full")))).otherwise(F.col("_found"))), "entities")
 
