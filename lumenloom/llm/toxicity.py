@@ -119,34 +119,37 @@ def features(count: np.ndarray, words: int, keep: np.ndarray) -> np.ndarray:
 def label_model(votes: np.ndarray, doubtful: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 per row, accuracy per voter, correlations between voters, from the votes alone.
 
-    ``votes`` (rows, voters) says who fired; who does not abstains. EM over a two-class
+    ``votes`` (rows, voters; booleans) says who fired; who does not abstains. EM over a two-class
     model in which each voter fires with its own probability in each class, and silence of
     all has one. Voters that are correlated given the label share their evidence:
     each one's log ratio is divided by one plus its correlations with those who fire, too. ``doubtful``
     voters are estimated by the posteriors of a model of the others, and have a part in
     the model themselves only where that says that they are right more often than not.
     """
-    votes = votes.astype(np.float64)
     n, k = votes.shape
     if doubtful is not None and doubtful.any():
-        posterior, accuracy, correlation = label_model(np.where(doubtful, 0.0, votes), rounds=rounds)
+        posterior, accuracy, correlation = label_model(votes & ~doubtful, rounds=rounds)
         accuracy = (posterior @ votes + 0.5) / (votes.sum(axis=0) + 1.0)
         joins = doubtful & (accuracy > 0.5)
         if joins.any():
-            posterior, again, correlation = label_model(np.where(doubtful & ~joins, 0.0, votes), rounds=rounds)
+            posterior, again, correlation = label_model(votes & (joins | ~doubtful), rounds=rounds)
             accuracy = np.where(doubtful & ~joins, accuracy, again)
         return posterior, accuracy, correlation
+    # Rows with the same votes, such as all silent ones, are one row with a weight.
+    _, first, back, weight = np.unique(np.packbits(votes, axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    votes = votes[first].astype(np.float64)
     some = votes.any(axis=1)
     posterior = np.where(some, 0.9, 0.01)
     correlation = np.eye(k)
     for _ in range(rounds):
-        one, zero = posterior.sum(), (1 - posterior).sum()
-        any1, any0 = (posterior[some].sum() + 0.5) / (one + 1.0), ((1 - posterior[some]).sum() + 0.5) / (zero + 1.0)
-        fire1 = (posterior @ votes + 0.05) / (one + 1.0)
-        fire0 = ((1 - posterior) @ votes + 0.05) / (zero + 1.0)
+        toxic, clean = posterior * weight, (1 - posterior) * weight
+        one, zero = toxic.sum(), clean.sum()
+        any1, any0 = (toxic[some].sum() + 0.5) / (one + 1.0), (clean[some].sum() + 0.5) / (zero + 1.0)
+        fire1 = (toxic @ votes + 0.05) / (one + 1.0)
+        fire0 = (clean @ votes + 0.05) / (zero + 1.0)
         rest = votes - (posterior[:, None] * fire1 + (1 - posterior)[:, None] * fire0)
-        sd = rest.std(axis=0) + 1e-6
-        correlation = (rest.T @ rest) / n / np.outer(sd, sd)
+        sd = np.sqrt(np.maximum(weight @ rest**2 / n - (weight @ rest / n) ** 2, 0.0)) + 1e-6
+        correlation = ((rest * weight[:, None]).T @ rest) / n / np.outer(sd, sd)
         np.fill_diagonal(correlation, 1.0)
         share = votes / (1.0 + votes @ np.maximum(correlation - np.eye(k), 0.0))
         prior = np.clip(one / n, 1e-4, 0.9999)
@@ -156,8 +159,8 @@ def label_model(votes: np.ndarray, doubtful: np.ndarray | None = None, rounds: i
         posterior = after
         if done:
             break
-    accuracy = (posterior @ votes + 0.5) / (votes.sum(axis=0) + 1.0)
-    return posterior, accuracy, correlation
+    accuracy = ((posterior * weight) @ votes + 0.5) / (weight @ votes + 1.0)
+    return posterior[back.ravel()], accuracy, correlation
 
 
 def train_linear(x: np.ndarray, soft: np.ndarray, share: np.ndarray, steps: int = 30, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
@@ -242,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = 3000, voters
     if not got or not n1 or not n0:
         trusted = np.array([1.0] * len(LEXICON) + [0.0] * (size - len(LEXICON)))
         return ToxicityModel(voters, trusted, np.concatenate([np.zeros(size), [2.0, 2.0, 2.0]]), -3.5)
-    count = np.stack([np.frombuffer(x, dtype=np.float32) for x, _ in got]).astype(np.float64)
+    count = np.stack([np.frombuffer(x, dtype=np.float32) for x, _ in got])
     return learned(voters, count, np.array([w for _, w in got]), counts[1] / (counts[0] + counts[1]))
 
 
@@ -251,10 +254,16 @@ def learned(voters: dict[str, int], count: np.ndarray, words: np.ndarray, prior:
     # Words were chosen for this task; forms stand in many texts.
     posterior, accuracy, _ = label_model(count > 0, np.arange(count.shape[1]) >= len(voters))
     trusted = (accuracy >= 0.7).astype(np.float64)
-    x = np.stack([features(c, w, trusted) for c, w in zip(count, words.tolist(), strict=True)])
     # The sample holds toxic texts more often than the corpus does; the weights undo that.
     inside = min(max(float(posterior.mean()), 1e-6), 1 - 1e-6)
     share = posterior * prior / inside + (1 - posterior) * (1 - prior) / (1 - inside)
+    # Silent texts have the same features and posterior: they are one row.
+    loud = np.flatnonzero((count > 0).any(axis=1))
+    silent = np.setdiff1d(np.arange(len(count)), loud)
+    rows = np.concatenate([loud, silent[:1]])
+    share = np.concatenate([share[loud], [share[silent].sum()] * len(silent[:1])])
+    posterior = posterior[rows]
+    x = np.stack([features(count[k].astype(np.float64), int(words[k]), trusted) for k in rows.tolist()])
     weights, bias = train_linear(x, posterior, share / share.sum())
     return ToxicityModel(voters, trusted, weights, bias)
 
