@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import filenames, labels, media, paths
 from lumenloom.operators import duplicates, events, matching, routing, sessions, similarity
+from lumenloom.operators.storage import checkpointed
 from lumenloom.plans import fixtures as fx
 from lumenloom.plans.match_oracles import _LISTING
 from lumenloom.plans.match_queries import _listing
@@ -130,7 +131,9 @@ def takeout_routing(spark, sf_dir):
     kind = F.when(F.col("follows") == "duplicate", "delete_duplicate").when(F.col("follows") == "original", "follow_original").when(filenames.is_wallpaper(F.col("name")), "wallpaper").when(F.col("date").isNull(), "review").otherwise("organize")
     root = F.when(_n() % 3 == 0, "Organized_Videos").otherwise("Organized_Photos")
     place = F.when(F.col("kind") == "follow_original", F.col("project")).when(F.col("kind") == "wallpaper", "Review/Wallpapers").when(F.col("kind") == "review", F.concat_ws("/", F.lit("Review"), F.col("year").cast("string"))).when(F.col("kind") == "organize", paths.destination(root, F.col("date")))
-    routed = followed.withColumn("date", date).withColumn("year", year).withColumn("kind", kind).withColumn("place", place)
+    # Written once: both the listing and its first holders of a name are read from it.
+    dated = checkpointed(followed.withColumn("date", date).withColumn("year", year))
+    routed = dated.withColumn("kind", kind).withColumn("place", place)
     first = routed.where("kind = 'organize'").groupBy("place", "name").agg(F.min("event_id").alias("first"))
     out = routed.join(first, ["place", "name"], "left")
     return out.select("event_id", "place", F.when((F.col("kind") == "organize") & (_n() != F.col("first")), "skip_existing").otherwise(F.col("kind")).alias("action"))
