@@ -41,11 +41,11 @@ def archive_missing(archive: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def date_and_size(source: DataFrame, existing: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Source rows (date_pattern, size) with the least path of an existing file that starts with their date: any .h265, else of like size."""
+    """Source rows (date_pattern, size) with the least path of an existing file that starts with their date (any .h265, or of like size), and whether any of these files is an .h265."""
     e = existing.select(F.col("path").alias("_path"), F.substring("base", 1, 15).alias("_prefix"), F.col("size").alias("_size"), F.lower("base").rlike(r"\.h265|\.hevc$").alias("_converted"))
     fits = F.col("_converted") | F.col("_size").between(F.col("size") * (1 - tolerance), F.col("size") * (1 + tolerance))
     found = source.join(e, (source["date_pattern"] == F.col("_prefix")) & fits, "left")
-    return found.groupBy(*source.columns).agg(F.min(F.struct("_path", "_converted")).alias("_m")).select(*source.columns, F.col("_m._path").alias("existing_path"), F.coalesce("_m._converted", F.lit(False)).alias("already_converted"))
+    return found.groupBy(*source.columns).agg(F.min("_path").alias("existing_path"), F.coalesce(F.bool_or("_converted"), F.lit(False)).alias("already_converted"))
 
 
 def edited_pairs(files: DataFrame) -> DataFrame:

@@ -215,6 +215,14 @@ def test_failed_probes_keep_the_existing_file(spark):
     assert got["b"]["confidence"] == "EXACT"
 
 
+def test_any_converted_file_of_a_date_counts(spark):
+    d = "20240101_120000"
+    existing = spark.createDataFrame([("a", d, 100), ("a", f"{d}_CAM.h265", 7), ("b", f"{d}_CAM.h265", 9), ("0", d, 500)], "path string, base string, size long")
+    source = spark.createDataFrame([(1, d, 100), (2, d, 300), (3, d, 500), (4, "20240101_120001", 100)], "event_id long, date_pattern string, size long")
+    got = {r["event_id"]: (r["existing_path"], r["already_converted"]) for r in matching.date_and_size(source, existing).collect()}
+    assert got == {1: ("a", True), 2: ("a", True), 3: ("0", True), 4: (None, False)}
+
+
 def test_edited_files_go_before_their_originals(spark):
     rows = [("x/a.jpg", "1", 9), ("x/a-edited.jpg", "1", 5), ("x/c.jpg", "1", 3), ("y/b.jpg", "2", 1), ("z/b-edited.jpg", "2", 1), ("y/lone.jpg", "3", 1)]
     got = {r["path"]: (r["action"], r["reason"]) for r in duplicates.keep_edited(spark.createDataFrame(rows, "path string, md5 string, mtime long")).collect()}
