@@ -67,10 +67,11 @@ def arbitrate(s_pixels: Column, s_codec: Column, s_size: Column, e_pixels: Colum
 
 
 def duplicate_ladder(source: DataFrame, existing: DataFrame, size_tolerance: float = 0.20, duration_tolerance: float = 1.0) -> DataFrame:
-    """One decision per source row against existing rows of its date pattern.
+    """One decision per source path against existing rows of its date pattern.
 
     Both sides: path, date_pattern, size, duration, pixels, codec. Candidates are taken by
-    path; the first that matches wins. Confidence: EXACT, HIGH, MEDIUM (same length,
+    path; the first that matches wins. Rows that repeat a path are settled by the values
+    that the decision is made from, so it is the same in every run. Confidence: EXACT, HIGH, MEDIUM (same length,
     other size: arbitrated), LOW (only the pattern), NONE. Size is the test alone where
     the source's duration is unknown. Where a probe failed (no pixels or codec) the
     existing file is kept.
@@ -82,7 +83,8 @@ def duplicate_ladder(source: DataFrame, existing: DataFrame, size_tolerance: flo
     timed = F.col("duration").isNotNull()
     same_length = F.coalesce(F.abs(F.col("duration") - F.col("e_duration")) <= duration_tolerance, F.lit(False))
     match = F.col("e_path").isNotNull() & F.when(timed, same_length).otherwise(near)
-    decided = pairs.withColumn("match", match).withColumn("rank", F.row_number().over(W.partitionBy("path").orderBy(F.desc("match"), "e_path"))).where("rank = 1")
+    by = W.partitionBy("path").orderBy(F.desc("match"), "e_path", "size", "pixels", "codec", "e_size", "e_pixels", "e_codec")
+    decided = pairs.withColumn("match", match).withColumn("rank", F.row_number().over(by)).where("rank = 1")
     a = arbitrate(F.col("pixels"), F.col("codec"), F.col("size"), F.col("e_pixels"), F.col("e_codec"), F.col("e_size"))
     probed = F.greatest(*(F.col(c).isNull().cast("int") for c in ("pixels", "codec", "e_pixels", "e_codec"))) == 0
     confidence = F.when(F.col("e_path").isNull(), "NONE").when(~F.col("match"), "LOW").when(near & (apart <= 0.01), "EXACT").when(near, "HIGH").otherwise("MEDIUM")

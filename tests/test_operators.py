@@ -215,6 +215,16 @@ def test_failed_probes_keep_the_existing_file(spark):
     assert got["b"]["confidence"] == "EXACT"
 
 
+def test_repeated_paths_are_decided_alike_in_every_order(spark):
+    schema = "path string, date_pattern string, size long, duration double, pixels long, codec string"
+    existing = [("e", "d", 1000, 9.0, 100, "h264"), ("e", "d", 400, 9.5, 100, "hevc"), ("f", "d", 100, 9.0, 100, "h264")]
+    source = [("a", "d", 1000, 9.0, 100, "h264"), ("a", "d", 100, 9.0, 100, "h264"), ("a", "d", 100, 30.0, 100, "hevc"), ("b", "d", 5, 30.0, 1, "h264"), ("b", "d", 5, 40.0, 1, "h264")]
+    want = {"a": ("MEDIUM", "e", True, True, "codec"), "b": ("LOW", "e", False, False, None)}
+    for s, e in itertools.product((source, source[::-1]), (existing, existing[::-1])):
+        rows = duplicates.duplicate_ladder(spark.createDataFrame(s, schema), spark.createDataFrame(e, schema)).collect()
+        assert {r["path"]: tuple(r)[1:] for r in rows} == want and len(rows) == 2
+
+
 def test_any_converted_file_of_a_date_counts(spark):
     d = "20240101_120000"
     existing = spark.createDataFrame([("a", d, 100), ("a", f"{d}_CAM.h265", 7), ("b", f"{d}_CAM.h265", 9), ("0", d, 500)], "path string, base string, size long")
