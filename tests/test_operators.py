@@ -225,6 +225,18 @@ def test_repeated_paths_are_decided_alike_in_every_order(spark):
         assert {r["path"]: tuple(r)[1:] for r in rows} == want and len(rows) == 2
 
 
+def test_run_counters_of_repeated_events(spark, tmp_path):
+    from lumenloom.plans import match_queries
+
+    once = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("copy", F.lit(0))
+    both = once.union(once.withColumn("event_id", F.col("event_id") + 1600).withColumn("copy", F.lit(1))).coalesce(1)
+    counted = []
+    for k, order in enumerate((["copy", "event_id"], [F.desc("copy"), F.desc("event_id")])):
+        both.sortWithinPartitions(*order).drop("copy").write.parquet(f"{tmp_path}/{k}/events.parquet")
+        counted.append(sorted(map(tuple, match_queries.run_counters(spark, f"{tmp_path}/{k}").collect())))
+    assert counted[0] == counted[1]
+
+
 def test_any_converted_file_of_a_date_counts(spark):
     d = "20240101_120000"
     existing = spark.createDataFrame([("a", d, 100), ("a", f"{d}_CAM.h265", 7), ("b", f"{d}_CAM.h265", 9), ("0", d, 500)], "path string, base string, size long")
