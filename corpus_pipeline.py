@@ -52,11 +52,10 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts stay null and empty ones empty; repeated rows stay equal; an empty table
     gives none; further columns are kept.
     """
-    own = docs.withColumnRenamed("n_entities", "_n_entities")
-    done = pii.protect(own, pii.session_key(spark)).drop("n_entities").withColumnRenamed("_n_entities", "n_entities")
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.char_length("text").cast("long"))
-    return done.select(*docs.columns)
+    done = pii.protect(docs.withColumnRenamed("n_entities", "_n_entities"), pii.session_key(spark))
+    # One step: each one has the driver look through the whole expression of the surrogates again.
+    as_now = {"n_entities": F.col("_n_entities").alias("n_entities"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
+    return done.select(*(as_now.get(c, F.col(c)) for c in docs.columns))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

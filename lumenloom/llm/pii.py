@@ -388,7 +388,7 @@ def found_in(docs: DataFrame) -> DataFrame:
 
 def entities(found: DataFrame) -> DataFrame:
     """entity (its identity) and m (one of its forms) of the distinct entities of ``found``."""
-    each = found.select(F.explode(F.array_distinct(F.transform("_found", lambda m: _titled(m, F.col("_full"))))).alias("m")).distinct()
+    each = base.materialize(found.select(F.explode(F.array_distinct(F.transform("_found", lambda m: _titled(m, F.col("_full"))))).alias("m")).distinct(), "forms")
     return base.materialize(each.withColumn("entity", identity(F.col("m"))).where("entity is not null").groupBy("entity").agg(F.min("m").alias("m")), "entities")
 
 
@@ -414,8 +414,9 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
     """
     first = crowded(known.where(kind_of(F.col("m")) == "name"), key).withColumn("attempt", F.lit(1))
     candidate = _built(known.sparkSession, key, "candidate", lambda: identity(surrogate(F.col("m"), key, F.col("attempt"))))
-    tried = lambda rows: rows.withColumn("s", candidate)
-    state = base.materialize(tried(known.join(first, "entity", "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))), "attempts")
+    # The candidate is a large expression. On top of a join, adaptive execution plans it anew after each of the join's stages, so it is applied to rows that are written already.
+    tried = lambda rows: base.materialize(base.materialize(rows, "numbered").withColumn("s", candidate), "attempts")
+    state = tried(known.join(first, "entity", "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))))
     for _ in range(ATTEMPTS):
         real = state.join(known.select(F.col("entity").alias("s")), "s", "left_semi").select("entity")
         claims = state.groupBy("s").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n")).where("n > 1").select("s", F.col("first.entity").alias("first"))
@@ -423,7 +424,7 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
         if not lost.take(1):
             break
         again = state.join(lost.withColumn("lost", F.lit(1)), "entity", "left").withColumn("attempt", F.col("attempt") + F.coalesce("lost", F.lit(0))).drop("lost", "s")
-        state = base.materialize(tried(again), "attempts")
+        state = tried(again)
     return state.where("attempt > 0").select("entity", "attempt")
 
 
