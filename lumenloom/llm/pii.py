@@ -164,6 +164,15 @@ def encipher(s: Column, key: str, tweak: Column, alphabets: tuple[str, ...]) ->
     return F.aggregate(F.sequence(F.lit(1), F.lit(5)), halves, turn, lambda a: F.concat(F.array_join(a["l"], ""), F.array_join(a["r"], "")))
 
 
+def _part(s: Column, tweak: Column) -> Column:
+    return F.struct(s.alias("s"), tweak.alias("tweak"))
+
+
+def _enciphered(parts: Column, key: str, alphabets: tuple[str, ...]) -> Column:
+    """An array of _part, enciphered; the expression is large, and so stands there once."""
+    return F.transform(parts, lambda p: encipher(p["s"], key, p["tweak"], alphabets))
+
+
 def _refill(shape: Column, fill: Column, what: str) -> Column:
     """``shape`` with its characters of class ``what`` replaced, in order, by those of ``fill``."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
@@ -215,9 +224,10 @@ def _email(m: Column, key: str, attempt: Column) -> Column:
     reserved = F.regexp_extract(domain, r"(example\.(?:com|org|net))$", 1)
     inside = F.when(reserved != "", F.lit("")).otherwise(F.concat(F.lit("."), F.substring_index(domain, ".", -1), F.lit(".example")))
     head = F.when(reserved != "", F.regexp_replace(domain, r"example\.(?:com|org|net)$", "")).otherwise(F.regexp_replace(domain, r"\.[a-z]+$", ""))
-    local = encipher(F.substring_index(m, "@", 1), key, _again(F.concat(F.lit("email "), domain), attempt), LETTERS + DIGITS)
-    after = F.substring(m, F.length(F.substring_index(m, "@", 1)) + F.length(domain) + 2, F.length(m))
-    return F.concat(local, F.lit("@"), encipher(head, key, F.lit("domain"), LETTERS + DIGITS), reserved, inside, after)
+    local = F.substring_index(m, "@", 1)
+    after = F.substring(m, F.length(local) + F.length(domain) + 2, F.length(m))
+    parts = _enciphered(F.array(_part(local, _again(F.concat(F.lit("email "), domain), attempt)), _part(head, F.lit("domain"))), key, LETTERS + DIGITS)
+    return _let(parts, lambda e: F.concat(e[0], F.lit("@"), e[1], reserved, inside, after))
 
 
 def _country(m: Column) -> Column:
@@ -308,11 +318,17 @@ def _name(m: Column, key: str, attempt: Column) -> Column:
 
 def _renamed(title: Column, given: Column, between: Column, family: Column, key: str, attempt: Column) -> Column:
     plain, _ = _given(title, given, key)
-    own = encipher(given, key, _again("given", attempt), SOUNDS)
-    other = F.when(_is_initial(given), own).when(attempt > 0, F.concat(plain, F.lit("-"), own)).otherwise(plain)
-    between = F.transform(between, lambda w: F.when(_is_particle(w), w).otherwise(encipher(w, key, F.lit("family"), SOUNDS)))
-    last = encipher(family, key, F.lit("family"), SOUNDS)
-    last = F.when((attempt > 0) & ((given == "") | _is_initial(given)), F.concat(last, F.lit("-"), encipher(family, key, _again("family", attempt), SOUNDS))).otherwise(last)
+    initial, further = _is_initial(given), attempt > 0
+    # What is not used is the empty string, which costs little.
+    parts = F.array(_part(F.when(initial | further, given).otherwise(F.lit("")), _again("given", attempt)), _part(F.when(further, family).otherwise(F.lit("")), _again("family", attempt)), _part(family, F.lit("family")))
+    parts = F.concat(parts, F.transform(between, lambda w: _part(F.when(_is_particle(w), F.lit("")).otherwise(w), F.lit("family"))))
+    return _let(_enciphered(parts, key, SOUNDS), lambda e: _joined(title, given, between, plain, e, initial, further))
+
+
+def _joined(title: Column, given: Column, between: Column, plain: Column, e: Column, initial: Column, further: Column) -> Column:
+    other = F.when(initial, e[0]).when(further, F.concat(plain, F.lit("-"), e[0])).otherwise(plain)
+    between = F.transform(between, lambda w, i: F.when(_is_particle(w), w).otherwise(F.get(e, i + 3)))
+    last = F.when(further & ((given == "") | initial), F.concat(e[2], F.lit("-"), e[1])).otherwise(e[2])
     return F.array_join(F.flatten(F.array(F.array(title), F.when(given != "", F.array(other)).otherwise(F.array().cast("array<string>")), between, F.array(last))), " ")
 
 
@@ -332,7 +348,8 @@ def surrogate(m: Column, key: str, attempt: Column | None = None) -> Column:
 
 def identity(m: Column) -> Column:
     """What a matched string stands for, whatever its form: titles, separators and the case of a domain do not count; null for strings of no kind."""
-    return _let(m, lambda x: _identity(x, kind_of(x), _digits(x)))
+    own = lambda x: F.struct(x.alias("m"), kind_of(x).alias("kind"), _digits(x).alias("d"))
+    return _let(m, lambda x: _let(own(x), lambda o: _identity(o["m"], o["kind"], o["d"])))
 
 
 def _identity(m: Column, kind: Column, d: Column) -> Column:

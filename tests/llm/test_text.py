@@ -395,3 +395,14 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
             if stage != "packing":
                 assert df.columns == columns
         assert df.select("doc_id").distinct().count() == (left if left == 0 else 2)
+
+
+def test_surrogates_of_entities_are_planned_on_written_rows(spark, monkeypatch):
+    from lumenloom.llm import base
+
+    plans, materialize = {}, base.materialize
+    monkeypatch.setattr(base, "materialize", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or materialize(df, name))
+    docs = spark.createDataFrame([(1, "write to ann@mail.org or Mr John Smith"), (2, "Mr Jon Smith, +44 20 7946 0958")], "doc_id long, text string")
+    assert sorted(r["n_entities"] for r in pii.protect(docs, "k").collect()) == [2, 2]
+    assert plans["attempts"] and all("Join" not in p and "Aggregate" not in p for p in plans["attempts"])
+    assert all(p.count("Aggregate [entity") == 1 and "Generate" not in p for p in plans["entities"][1:])
