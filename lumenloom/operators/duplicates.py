@@ -73,13 +73,13 @@ def duplicate_ladder(source: DataFrame, existing: DataFrame, size_tolerance: flo
     path; the first that matches wins. Rows that repeat a path are settled by the values
     that the decision is made from, so it is the same in every run. Confidence: EXACT, HIGH, MEDIUM (same length,
     other size: arbitrated), LOW (only the pattern), NONE. Size is the test alone where
-    the source's duration is unknown. Where a probe failed (no pixels or codec) the
-    existing file is kept.
+    the source's duration is unknown; an unknown size is like no other. Where a probe
+    failed (no pixels or codec) the existing file is kept.
     """
     e = existing.select(*(F.col(c).alias(f"e_{c}") for c in ("path", "date_pattern", "size", "duration", "pixels", "codec")))
     pairs = source.join(e, F.col("date_pattern") == F.col("e_date_pattern"), "left")
-    apart = F.coalesce(F.try_divide(F.abs(F.col("size") - F.col("e_size")), F.greatest("size", "e_size")), F.lit(0.0))
-    near = apart <= size_tolerance
+    apart = F.when(F.col("size") == F.col("e_size"), 0.0).otherwise(F.try_divide(F.abs(F.col("size") - F.col("e_size")), F.greatest("size", "e_size")))
+    near = F.coalesce(apart <= size_tolerance, F.lit(False))
     timed = F.col("duration").isNotNull()
     same_length = F.coalesce(F.abs(F.col("duration") - F.col("e_duration")) <= duration_tolerance, F.lit(False))
     match = F.col("e_path").isNotNull() & F.when(timed, same_length).otherwise(near)

@@ -68,7 +68,8 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures as an archive of videos, some re-encoded, some of other length."""
     e = F.col("event_id")
     base = F.date_format("ts", "yyyyMMdd_HHmmss")
-    factor = F.element_at(F.array(*map(F.lit, (1.000, 1.005, 1.15, 1.50, 2.50, 0.70, 0.40))), (e % 7 + 1).cast("int"))
+    place = (e % 7 + 1).cast("int")  # 0 for some negative ids: null, as in the SQL
+    factor = F.when(place != 0, F.element_at(F.array(*map(F.lit, (1.000, 1.005, 1.15, 1.50, 2.50, 0.70, 0.40))), place))
     name = F.concat(F.lit("VID_"), base, F.lit(".mp4"))
     return captures(spark, sf_dir).where((e % 16).isin(0, 1, 8)).select(
         "event_id", F.concat(F.lit("archive/"), name).alias("path"), name.alias("name"), filenames.date_pattern(name).alias("date_pattern"), F.floor(F.col("size") * factor).alias("size"),

@@ -237,6 +237,43 @@ def test_run_counters_of_repeated_events(spark, tmp_path):
     assert counted[0] == counted[1]
 
 
+def test_run_counters_of_negative_ids_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from lumenloom.plans import match_oracles, match_queries
+
+    (tmp_path / "neg").mkdir()
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (-event_id AS event_id) FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/neg/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/neg/events.parquet'")
+    want = sorted(c.sql(match_oracles.ORACLES["run_counters"]).fetchall())
+    assert sorted(map(tuple, match_queries.run_counters(spark, f"{tmp_path}/neg").collect())) == want
+
+
+def test_an_unknown_size_is_like_no_other(spark):
+    schema = "path string, date_pattern string, size long, duration double, pixels long, codec string"
+    existing = spark.createDataFrame([("e", "d", 0, 9.0, 100, "h264")], schema)
+    source = spark.createDataFrame([("a", "d", None, 9.0, 100, "h264"), ("b", "d", None, None, 100, "h264"), ("c", "d", 0, 9.0, 100, "h264")], schema)
+    got = {r["path"]: (r["confidence"], r["is_duplicate"]) for r in duplicates.duplicate_ladder(source, existing).collect()}
+    assert got == {"a": ("MEDIUM", True), "b": ("LOW", False), "c": ("EXACT", True)}
+
+
+def test_decisions_of_repeated_events_are_rows_that_the_sql_allows(spark, tmp_path):
+    import duckdb
+
+    from lumenloom.plans import match_oracles, match_queries
+
+    (tmp_path / "six").mkdir()
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (event_id + k * 1600 AS event_id) FROM '/root/testdata/sf0.001/events.parquet', range(6) r(k)) TO '{tmp_path}/six/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/six/events.parquet'")
+    # rank() for row_number(): all rows that the ORDER BY puts first, not one of them by chance
+    allowed = set(c.sql(match_oracles.ORACLES["duplicate_decisions"].replace("row_number() OVER", "rank() OVER")).fetchall())
+    got = [tuple(r) for r in match_queries.duplicate_decisions(spark, f"{tmp_path}/six").collect()]
+    assert len(allowed) > len(got)
+    assert set(got) <= allowed and sorted(r[0] for r in got) == sorted({r[0] for r in allowed})
+
+
 def test_any_converted_file_of_a_date_counts(spark):
     d = "20240101_120000"
     existing = spark.createDataFrame([("a", d, 100), ("a", f"{d}_CAM.h265", 7), ("b", f"{d}_CAM.h265", 9), ("0", d, 500)], "path string, base string, size long")
